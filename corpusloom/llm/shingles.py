@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 
 U = np.uint64
@@ -97,10 +98,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def pieces(column, most: int = 8_000_000):
-    """Index ranges of an Arrow string column that hold about `most` bytes each (one value at least)."""
+    """Index ranges of an Arrow binary column that hold about `most` bytes each (one value at least)."""
     start, size = 0, 0
-    for i, x in enumerate(column):
-        size += len(x) if x is not None else 0
+    for i, x in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        size += x
         if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
