@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op03_quality_rules", "op09_substring_dedup", "op10_near_dedup")
+MODULES = ("op03_quality_rules", "op08_decontaminate", "op09_substring_dedup", "op10_near_dedup")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
