@@ -47,11 +47,15 @@ def release(spark: SparkSession, df: DataFrame) -> None:
         _drop(spark, f.rsplit("/", 1)[0])
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a scratch table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write df as a scratch table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    by: a column to lay the files out by, so that a filter on it reads only its own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
