@@ -6,7 +6,9 @@ a collision-corrected Jaccard estimate thins out, the full sets decide, union-fi
 
 Skew. Equal sets share a 16-byte key and are one node, so thousands of copies cost one. Within a band, members are
 compared with one centre (its least key), which is linear. Only bands that still hold more than one component after
-that have their cross-component pairs compared too, so no link that a band proposes is lost.
+that are looked at again: their members, grouped by the bands they share, are cut into blocks of BLOCK sets, and each
+pair of blocks is a task that compares registers, skips what is connected already and emits only confirmed links. So
+no link that a band proposes is lost, no task holds more than two blocks, and no pairs are written out.
 
 Cases. Null or empty text, or no word: n_shingles 0, linked with nothing, component_id = doc_id, kept. Null doc_id:
 takes part; it is kept only if its whole component has no doc_id. Rows that repeat a doc_id share their fate when
@@ -24,9 +26,11 @@ from . import shingles as S
 from .common import connected_components, materialize, table
 
 PERCENT = 75
-#: A pair is compared in full if its estimate reaches this: six standard deviations of 128 registers below 0.75.
-LEAST_ESTIMATE = 0.5
-SIGNED = "doc_id long, n_shingles long, key binary, bands array<long>"
+#: A pair is compared in full if its estimate reaches this: five standard deviations of 128 registers below 0.75.
+LEAST_ESTIMATE = 0.55
+#: Sets in a block.
+BLOCK = 1000
+SIGNED = "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>"
 SETS = "key binary, regs binary, shingles binary"
 
 
@@ -40,12 +44,12 @@ def _sets(batches, column=1):
 
 
 def _sign(batches):
-    """(doc_id, text) -> SIGNED."""
+    """(doc_id, text, text_hash) -> SIGNED."""
     out, last = [], None
 
     def rows():
         ids = last.column(0)
-        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), last.column(2), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "key", "bands"])
 
     for batch, _, s in _sets(batches):
         if last is not None and batch is not last:
@@ -83,16 +87,41 @@ def _verify(batches):
         good = []
         for i in range(batch.num_rows):
             ra, sa, rb, sb = (np.frombuffer(p[i].as_py(), kind) for p, kind in zip(parts, (np.uint16, S.U, np.uint16, S.U), strict=True))
-            if 100 * min(len(sa), len(sb)) >= PERCENT * max(len(sa), len(sb)) and S.estimate(ra, rb, len(sa), len(sb)) >= LEAST_ESTIMATE and S.similar(sa, sb, PERCENT):
+            if 100 * min(len(sa), len(sb)) >= PERCENT * max(len(sa), len(sb)) and S.estimate((ra == rb).mean(), len(sa), len(sb))[0] >= LEAST_ESTIMATE and S.similar(sa, sb, PERCENT):
                 good.append(i)
         yield pa.RecordBatch.from_arrays([x.take(pa.array(good, pa.int64())) for x in (a, b)], ["a", "b"])
 
 
+def _tile(rows: pa.Table) -> pa.Table:
+    """The sets of one block, or of two: links that connect what was not connected, a spanning forest of them."""
+    block = rows["block"].to_numpy()
+    order = np.argsort(block, kind="stable")
+    rows = rows.take(pa.array(order))
+    keys, block = rows["key"].to_pylist(), block[order]
+    _, label = np.unique(np.array([x.hex() for x in rows["component"].to_pylist()]), return_inverse=True)
+    regs = np.stack([np.frombuffer(x, np.uint16) for x in rows["regs"].to_pylist()])
+    sets = [np.frombuffer(x, S.U) for x in rows["shingles"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    second = int(np.searchsorted(block, block[0], "right"))
+    alone = second == len(block)
+    links = []
+    for i in range(len(block) if alone else second):
+        at = np.arange(i + 1 if alone else second, len(block))
+        at = at[(label[at] != label[i]) & (100 * np.minimum(size[at], size[i]) >= PERCENT * np.maximum(size[at], size[i]))]
+        if len(at):
+            equal = (regs[at] == regs[i]).mean(axis=1)
+            for j in at[S.estimate(equal, size[at], size[i]) >= LEAST_ESTIMATE].tolist():
+                if label[j] != label[i] and S.similar(sets[i], sets[j], PERCENT):
+                    links.append((keys[i], keys[j]))
+                    label[label == label[j]] = label[i]
+    return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; a row for each row of docs."""
-    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, SIGNED), "signed")
+    """(doc_id, text, ...) -> doc_id, text_hash, n_shingles, component_id, kept; a row for each row of docs."""
+    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).mapInArrow(_sign, SIGNED), "signed")
     rows = signed.where("key is not null")
-    banded = rows.select("key", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("band"), "key", "n")
+    banded = rows.select("key", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("band"), "key")
     several = banded.groupBy("band").agg(F.min("key").alias("centre"), F.max("key").alias("other")).where("centre <> other").select("band", "centre")
     members = materialize(banded.join(several, "band").distinct(), "members")
     stars = materialize(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
@@ -101,22 +130,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(reps, F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text")
     sets = materialize(texts.mapInArrow(_full, SETS).dropDuplicates(["key"]), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("key").alias("a"), F.col("regs").alias("regs_a"), F.col("shingles").alias("set_a"))
-        right = sets.select(F.col("key").alias("b"), F.col("regs").alias("regs_b"), F.col("shingles").alias("set_b"))
-        full = pairs.join(left, "a").join(right, "b").select("a", "b", "regs_a", "set_a", "regs_b", "set_b")
-        return materialize(full.mapInArrow(_verify, "a binary, b binary"), "links")
-
-    links = confirmed(stars)
+    left = sets.select(F.col("key").alias("a"), F.col("regs").alias("regs_a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("key").alias("b"), F.col("regs").alias("regs_b"), F.col("shingles").alias("set_b"))
+    full = stars.join(left, "a").join(right, "b").select("a", "b", "regs_a", "set_a", "regs_b", "set_b")
+    links = materialize(full.mapInArrow(_verify, "a binary, b binary"), "links")
     found = connected_components(links)
-    placed = members.join(found, members["key"] == found["id"], "left").select("band", "key", "n", F.coalesce("component", "key").alias("component"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    left = materialize(placed.join(open_, "band"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, F.expr(f"x.band = y.band and x.key < y.key and x.component <> y.component and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    more = confirmed(cross.join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
+
+    placed = members.join(found, members["key"] == found["id"], "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("key").alias("centre")).where("lo <> hi").select("band", "centre")
+    again = materialize(placed.join(open_, "band").select("key", "component", "centre").distinct(), "open")
+    if not again.isEmpty():
+        group = connected_components(again.select(F.col("key").alias("a"), F.col("centre").alias("b")))
+        group = again.select("key", "component").distinct().join(group.select(F.col("id").alias("key"), F.col("component").alias("grp")), "key")
+        blocks = group.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = group.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "component").join(sets, "key")
+        more = materialize(dealt.groupBy("grp", "i", "j").applyInArrow(_tile, "a binary, b binary"), "more")
+        if not more.isEmpty():
+            found = connected_components(links.unionByName(more))
 
     class_doc = rows.groupBy("key").agg(F.min("doc_id").alias("doc"))
     grouped = found.join(class_doc, found["id"] == class_doc["key"]).select("key", "component", "doc")
@@ -124,12 +156,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_key = grouped.join(least, "component").select("key", "component_id")
     alone = class_doc.join(of_key, "key", "left_anti").select("key", F.col("doc").alias("component_id"))
     out = signed.join(of_key.unionByName(alone), "key", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {"op10_hyperminhash_near_dedup": query}

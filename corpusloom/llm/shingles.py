@@ -79,15 +79,15 @@ def registers(s: np.ndarray) -> np.ndarray:
     return (zeros << MANTISSA | mant).astype(np.uint16)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> float:
-    """Jaccard estimate from two register arrays, less the share of equal registers that chance makes."""
-    equal = float((a == b).mean())
-    lam = (size_a + size_b) / (2 * REGISTERS)
-    # P(two independent minima of about lam values fall in the same cell): sum over cells of p^2.
+def estimate(equal, size_a, size_b):
+    """Jaccard estimate from the share of equal registers, less what chance makes equal; numbers or arrays.
+
+    Two independent minima of about lam values each fall in one cell with probability sum(p^2) over its cells.
+    """
+    lam = np.atleast_1d((np.asarray(size_a, float) + size_b) / (2 * REGISTERS))[:, None]
     zeros = np.arange(0, 40)
-    hi, lo = 2.0 ** -zeros, 2.0 ** -(zeros + 1)
-    p = np.exp(-lam * lo) - np.exp(-lam * hi)
-    chance = float((p**2).sum() / 2**MANTISSA)
+    p = np.exp(-lam * 2.0 ** -(zeros + 1)) - np.exp(-lam * 2.0**-zeros)
+    chance = (p**2).sum(axis=1) / 2**MANTISSA
     return (equal - chance) / (1 - chance)
 
 

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from corpusloom.llm import op10_near_dedup as op
 from corpusloom.llm.op10_near_dedup import near_duplicates
 
 DDL = "doc_id long, text string, key string, band string, a string, n_shingles string"
@@ -41,9 +44,9 @@ def made(seed=3):
             rows.append((d, " ".join(w)))
             d += 1
     base = [rnd.choice(vocab) for _ in range(120)]
-    for _ in range(40):  # one large group of near copies
+    for _ in range(60):  # one large group of near copies, many not near its centre
         w = list(base)
-        for _ in range(rnd.choice([0, 1, 2, 3, 4])):
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 6])):
             w[rnd.randrange(len(w))] = rnd.choice(vocab)
         rows.append((d, " ".join(w)))
         d += 1
@@ -51,7 +54,9 @@ def made(seed=3):
     return rows
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("block", [1000, 7])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(op, "BLOCK", block)
     rows = made() + [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "A b"), (1004, "a\tB"), (1005, "é É")]
     df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], DDL).repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()}
