@@ -59,6 +59,16 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that may be sent to every task; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df marked for broadcast if it is counted to hold at most `most` (BROADCAST_ROWS) rows, else df itself."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Union-find over edges (a, b): returns (id, component), component being the smallest id reachable.
 
@@ -67,19 +77,21 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     ends are equal or null link nothing; ids without a link are absent from the result.
     """
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur, last, spark = materialize(cur, tag), None, edges.sparkSession
-    while True:
+    cur, spark = materialize(cur, tag), edges.sparkSession
+
+    def done(x: DataFrame) -> bool:
+        """Each node has one parent at most, and no parent has one: a forest of stars."""
+        ends = x.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(x.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+    while not done(cur):
         sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = sym.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), tag)
-        state = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         release(spark, cur)
         cur = new
-        if state == last:
-            break
-        last = state
     roots = cur.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

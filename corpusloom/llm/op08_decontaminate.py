@@ -27,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, table
+from . import common
+from .common import SPACE, materialize, small, table
 
 SHINGLE, PERCENT, RADIUS, BITS = 5, 75, 20, 64
-BROADCAST_ROWS = 1_000_000
 _WIDTH = BITS // (RADIUS + 1)  # bits of a block; the last one takes the rest
 
 
@@ -62,10 +62,6 @@ def _tagged(ordered: str):
     return F.transform(ordered, lambda x, i: F.xxhash64(x, i - F.array_position(ordered, x).cast("int")))
 
 
-def _small(df: DataFrame):
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _fingerprinted(x: DataFrame) -> DataFrame:
     """x with words `words` and shingle size `k` -> fp, blocks, tags and weight."""
     x = x.withColumns({"_features": F.transform("words", lambda v: F.xxhash64(v)), "_ordered": F.sort_array(_hashes("words", F.col("k")))})
@@ -85,19 +81,20 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         wanted = items.where(F.col("k") == k).select(F.explode("hashes").alias("hash"), "size").distinct()
         placed = docs.withColumn("n", F.size("words")).withColumn("hashes", _hashes("words", F.lit(k)))
         placed = placed.select("doc_id", "text_hash", "n", F.posexplode_outer("hashes").alias("pos", "hash"))
-        hit = placed.join(_small(wanted), "hash").select("doc_id", "text_hash", "size", F.lit(k).alias("k"), F.greatest(F.lit(0), F.least("pos", F.col("n") - F.col("size"))).alias("start"))
+        hit = placed.join(small(wanted), "hash").select("doc_id", "text_hash", "size", F.lit(k).alias("k"), F.greatest(F.lit(0), F.least("pos", F.col("n") - F.col("size"))).alias("start"))
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, start int, similarity double")
     hits = materialize(found.distinct(), "hits")
 
     at = hits.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("size", "k", "start")).alias("at"))
-    texts = docs.join(_small(at), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    at = F.broadcast(at) if hits.count() <= common.BROADCAST_ROWS else at  # by its hits: a row holds as many as its text
+    texts = docs.join(at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
     windows = texts.select("doc_id", "text_hash", F.explode_outer(F.transform("at", lambda v: F.struct(v["size"].alias("size"), v["k"].alias("k"), v["start"].alias("start"), F.slice("words", v["start"] + 1, v["size"]).alias("words")))).alias("w"))
     windows = materialize(_fingerprinted(windows.select("doc_id", "text_hash", "w.*")).drop("words"), "windows")
 
     index = items.select(F.col("item_id"), "size", F.col("fp").alias("item_fp"), F.col("blocks").alias("item_blocks"), F.col("tags").alias("item_tags"), F.col("weight").alias("item_weight"), F.explode("blocks").alias("block"))
-    pairs = windows.withColumn("block", F.explode("blocks")).join(_small(index), ["size", "block"])
+    pairs = windows.withColumn("block", F.explode("blocks")).join(small(index), ["size", "block"])
     pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (F.col("block") == F.array_intersect("blocks", "item_blocks")[0]))
     pairs = pairs.withColumn("common", F.size(F.array_intersect("tags", "item_tags"))).withColumn("all", F.col("weight") + F.col("item_weight") - F.col("common"))
     good = pairs.where(100 * F.col("common") >= PERCENT * F.col("all")).select("doc_id", "text_hash", "item_id", F.struct((F.col("common") / F.col("all")).alias("similarity"), (-F.col("start")).alias("back")).alias("best"))
@@ -109,7 +106,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates; same columns as docs."""
     bad = matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     bad = materialize(bad, "contaminated")
-    return docs.join(_small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    return docs.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from corpusloom.llm import common
 from corpusloom.llm import op08_decontaminate as op
 
 
@@ -52,7 +53,7 @@ def made():
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(op, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     docs, items = made()
     d = spark.createDataFrame([(*r, 1, "w", 1) for r in docs], "doc_id long, text string, size int, words string, k int")
     b = spark.createDataFrame(items, "item_id long, text string")
