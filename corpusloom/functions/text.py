@@ -144,7 +144,7 @@ def seconds(c: Column) -> Column:
 def srt_time(c: Column, mark: str = ",") -> Column:
     """Seconds as HH:MM:SS,mmm; milliseconds are rounded, so they can read 1000, as in the format's source."""
     whole = F.floor(c).cast("long")
-    return F.concat(F.lpad(F.floor(whole / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(whole / 60) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit(mark), F.lpad(F.round((c - whole) * 1000).cast("int").cast("string"), 3, "0"))
+    return F.concat(F.format_string("%02d", F.floor(whole / 3600)), F.lit(":"), F.lpad((F.floor(whole / 60) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit(mark), F.format_string("%03d", F.round((c - whole) * 1000).cast("int")))
 
 
 def four(c: Column) -> Column:
