@@ -23,8 +23,8 @@ from corpusloom.llm.op06_language_id import identify
 from corpusloom.llm.op08_decontaminate import decontaminate
 from corpusloom.llm.op10_near_dedup import near_duplicates
 
-#: Language ID rejects a text whose best language scores less; 0.5 is the boundary between a language and the rest.
-LEAST_SCORE = 0.3
+#: Language ID rejects a text whose best language scores less; clean texts of one word score over 0.3.
+LEAST_SCORE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
