@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SPACE, table
 from .shingles import M1, U, WordHashes, mix, pieces
 
 WINDOW, MMER = 35, 4
@@ -237,5 +237,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+wins AS (SELECT doc_id, i, md5(array_to_string(w[i:i+{WINDOW - 1}], ' ')) AS k FROM d, unnest(range(1, len(w) - {WINDOW - 2})) AS u(i)),
+dup AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM dup, unnest(range(i, i + {WINDOW})) AS u(j)),
+words AS (SELECT doc_id, j, w[j] AS x FROM d, unnest(range(1, len(w) + 1)) AS u(j)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS s, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES = {"op9_substring_dedup": query}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_substring_dedup": ORACLE}

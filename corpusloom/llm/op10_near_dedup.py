@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import connected_components, materialize, table
+from .common import SPACE, connected_components, materialize, table
 
 PERCENT = 75
 #: A pair is compared in full if its estimate reaches this: five standard deviations of 128 registers below 0.75.
@@ -164,5 +164,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, w, least(5, len(w)) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i+k-1], ' ')) AS s FROM k, unnest(range(1, len(w) - k + 2)) AS u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON a = r),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES = {"op10_hyperminhash_near_dedup": query}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_hyperminhash_near_dedup": ORACLE}
