@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, table
 
-WEIGHTS, MOST, BLOCK, SHARD_TOKENS, SEED = (1, 2, 3), 3, 32, 4_000_000, 20260101
+WEIGHTS, MOST, BLOCK, SHARD_TOKENS, SEED = (1, 2, 3), 3, 32, 500_000, 20260101
 
 
 def sizes(docs: DataFrame) -> DataFrame:
