@@ -56,3 +56,20 @@ def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "the same line of text"), (1, "the same line of text\nown words in this one"), (2, "other"), (2, "other")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in dedup_lines(df).collect()) == [(0, "the same line of text"), (1, "own words in this one"), (2, "other"), (2, "other")]
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_repeating_and_short_lines(spark):
+    """Sets of few shingles: long lines that repeat themselves, and lines of 18 to 25 characters."""
+    rnd = random.Random(9)
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for d in range(0, 240, 2):
+        unit = some(rnd.choice([2, 3, 5, 9]))
+        n = rnd.choice([200, 500, 1000]) // len(unit)
+        rows += [(d, unit * n), (d + 1, unit * (n + rnd.randrange(1, 2 * n)))]
+    for d in range(300, 900, 2):
+        line = some(rnd.randrange(18, 24))
+        rows += [(d, line), (d + 1, line + some(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
+    assert got == brute(rows)
