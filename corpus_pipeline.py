@@ -23,13 +23,10 @@ from corpusloom.llm.op06_language_id import identify
 from corpusloom.llm.op08_decontaminate import decontaminate
 from corpusloom.llm.op10_near_dedup import near_duplicates
 
-#: Language ID rejects a text whose best language scores less; clean texts of one word score over 0.3.
-LEAST_SCORE = 0.1
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
-    found = identify(docs).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
+    found = identify(docs).where("lang_near")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
 
 

@@ -9,10 +9,16 @@ landmarks, then kernel values times coefficients.
 Fitting sample (a documented bound): of documents whose crc32(doc_id) mod 5 is not 0, with a language and a letter, the
 PER_LANGUAGE least by a hash of doc_id for each language. Only their n-gram sets reach the driver. Everything is scored.
 
+Near. The score cannot tell a text in no learned language (the languages' scores sum to about 1), so `lang_near` says
+whether enough of a text's n-grams occur in the sample. What is enough is calibrated for each language and size: NEAR
+times the LOW quantile of the share that fragments of the sample's documents (1 to 64 words, and whole) have in common
+with other documents, less 1 / sqrt(n-grams) for the chance of few. A language with nothing to compare with rejects
+nothing; single words of an unlearned language in a learned script often pass.
+
 Skew and scale. The sample's per-language limit is applied within tasks before the shuffle; scoring is one pass without
 a shuffle; the model sent to tasks is bounded by LANDMARKS and HASH_BITS.
 
-Cases. Null text, or no letter: `und`, score 0. No labelled document: all `und`. Null doc_id: held out, scored. Ties
+Cases. Null text, or no letter: `und`, score 0, not near. No labelled document: all `und`, none near. Null doc_id: held out, scored. Ties
 between languages: the first by code point. Repeated rows: scored alike. Empty table: empty result.
 """
 
@@ -29,6 +35,7 @@ from .shingles import pieces
 GRAMS, HASH_BITS = (1, 2, 3), 18
 PER_LANGUAGE, LANDMARKS, RIDGE, FOLDS = 300, 64, 1e-3, 5
 BATCH = 64
+FRAGMENTS, NEAR, LOW = (1, 2, 4, 8, 16, 64), 0.8, 0.01
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 _LETTERS: list[np.ndarray] = []
 
@@ -87,6 +94,25 @@ class Model:
         fit = np.linalg.solve(phi.T @ phi + RIDGE * len(sets) * np.eye(phi.shape[1]), phi.T @ y)
         self.coef, self.bias = (root @ fit[:-1]).astype(np.float32), fit[-1].astype(np.float32)
 
+    def calibrate(self, sets: list[np.ndarray], langs: list[str], parts: list[list[np.ndarray]]) -> "Model":
+        """Learns which n-grams the sample has, and the share of them that each language's texts have by size."""
+        seen = np.zeros(1 << HASH_BITS, np.int32)
+        for s in sets:
+            seen[s] += 1
+        self.known, self.usual = seen > 0, {}
+        for lang in self.langs:
+            found: dict[int, list[float]] = {}
+            for s, own, few in zip(sets, langs, parts, strict=True):
+                for x in [s, *few] if own == lang else []:
+                    found.setdefault(len(x).bit_length(), []).append((seen[x] > 1).mean())  # seen in another document
+            sizes = sorted(found)
+            self.usual[lang] = sizes, [float(np.quantile(found[k], LOW, method="lower")) for k in sizes]
+        return self
+
+    def near(self, sets: list[np.ndarray], langs: list[str]) -> list[bool]:
+        """Whether a text (its language as predicted) has as many known n-grams as a text of its size should."""
+        return [len(s) > 0 and bool(self.known[s].mean() >= NEAR * np.interp(len(s).bit_length(), *self.usual[lang]) - len(s) ** -0.5) for s, lang in zip(sets, langs, strict=True)]
+
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
         out = []
         for at in range(0, len(sets), BATCH):
@@ -105,9 +131,19 @@ class Model:
         return [self.langs[b] if len(s) else "und" for b, s in zip(best, sets, strict=True)], [float(x) if len(s) else 0.0 for x, s in zip(score, sets, strict=True)]
 
 
+def _fragments(text: str) -> list[np.ndarray]:
+    """N-gram ids of runs of words, two of each length in FRAGMENTS that the text is longer than."""
+    words = text.split()
+    runs = [words[at : at + n] for n in FRAGMENTS if n < len(words) for at in ((len(words) - n) // 3, (len(words) - n) * 2 // 3)]
+    return [x for x in (gram_ids(" ".join(run)) for run in runs) if len(x)]
+
+
 def _sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([gram_ids(t.as_py()).astype(np.int32).tobytes() for t in batch.column(1)], pa.binary())], ["lang", "grams"])
+        texts = [t.as_py() for t in batch.column(1)]
+        grams = pa.array([gram_ids(t).astype(np.int32).tobytes() for t in texts], pa.binary())
+        parts = pa.array([[x.astype(np.int32).tobytes() for x in _fragments(t)] for t in texts], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), grams, parts], ["lang", "grams", "parts"])
 
 
 def fold(doc_id):
@@ -121,17 +157,19 @@ def fit(docs: DataFrame) -> Model | None:
     sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
     chosen = sample.select("doc_id", F.col("lang").alias("_l")).distinct()
     texts = docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["doc_id"]) & (docs["lang"] == chosen["_l"])).where(F.col("text").isNotNull()).select("lang", "text")
-    rows = sorted((r.lang, bytes(r.grams)) for r in texts.mapInArrow(_sets, "lang string, grams binary").collect())
-    rows = [(lang, np.frombuffer(x, np.int32).astype(np.int64)) for lang, x in rows if x]
+    rows = sorted((r.lang, bytes(r.grams), [bytes(x) for x in r.parts]) for r in texts.mapInArrow(_sets, "lang string, grams binary, parts array<binary>").collect())
+    ids = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
+    rows = [(lang, ids(x), [ids(y) for y in parts]) for lang, x, parts in rows if x]
     order = np.random.default_rng(0).permutation(len(rows))
-    return Model([rows[i][1] for i in order], [rows[i][0] for i in order]) if rows else None
+    langs, sets, parts = ([rows[i][k] for i in order] for k in range(3))
+    return Model(sets, langs).calibrate(sets, langs, parts) if rows else None
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, text, lang, ...) -> the columns `keep` (None: all) of docs, with lang_pred and lang_score."""
+    """(doc_id, text, lang, ...) -> the columns `keep` (None: all) of docs, with lang_pred, lang_score and lang_near."""
     model = fit(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in keep or docs.columns if c not in ("lang_pred", "lang_score")]
+    names = [c for c in keep or docs.columns if c not in ("lang_pred", "lang_score", "lang_near")]
 
     def run(batches):
         m = sent.value
@@ -140,10 +178,11 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 sets = [gram_ids(t.as_py()) for t in part.column(0)]
                 lang, score = m.predict(sets) if m else (["und"] * len(sets), [0.0] * len(sets))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "lang_score"])
+                near = m.near(sets, lang) if m else [False] * len(sets)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.bool_())], [*names, "lang_pred", "lang_score", "lang_near"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return docs.select(F.col("text").cast("string").alias("_scored"), *names).mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    return docs.select(F.col("text").cast("string").alias("_scored"), *names).mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_near boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,15 @@ def test_run_against_brute_force(spark, tmp_path):
 
 def test_stages():
     assert [n for n, _ in pipe.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "mixing"]
+
+
+def test_language_id_rejects_unlearned_languages(spark):
+    rows, _ = made()
+    long = "Вчера вечером мы долго гуляли по городу и говорили о книгах", "昨日は友達と一緒に東京へ行きました", "Χθες το βράδυ περπατήσαμε πολύ στην πόλη", "Wczoraj wieczorem długo spacerowaliśmy po mieście i rozmawialiśmy o książkach", "asdkjh qwepoi zxmnbv lkjqwe pqwoei zmxnbv qpwoei"
+    short = "Вчера", "昨日", "Χθες"
+    clean = [r[1].split()[0] for r in rows[:20]] + [" ".join(r[1].split()[:5]) for r in rows[20:40]]
+    more = [(1000 + i, t, None, "a") for i, t in enumerate([*long, *short])] + [(2000 + i, t, None, "a") for i, t in enumerate(clean)]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows + more], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.lang for r in pipe.language_id(spark, docs, "").collect()}
+    assert not [d for d in kept if 1000 <= d < 2000]
+    assert {d for d in kept if d >= 2000} == {2000 + i for i in range(len(clean))}
