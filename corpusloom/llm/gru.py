@@ -152,8 +152,10 @@ class Gru:
         p[~real] = 0
         p /= count
         g["wc"], g["bc"], ds = s.T @ p, p.sum(axis=0), p @ self.wc.T
+        order = np.flatnonzero(real)[np.argsort(cls[real], kind="stable")]
+        cuts = np.searchsorted(cls[order], np.arange(self.frequent + 1))
         for c in range(self.frequent):
-            at = np.flatnonzero(real & (cls == c))
+            at = order[cuts[c] : cuts[c + 1]]
             if len(at):
                 b = s[at] @ self.ww[c] + self.bw[c]
                 q = np.exp(b - b.max(axis=1, keepdims=True))

@@ -8,9 +8,10 @@ are held out; the others teach.
    third of all tokens is a row per chunk there, and no task ever holds the whole vocabulary.
 2. Buckets add the counts up over all chunks, answer each chunk, and give the totals, the most frequent words and the
    totals of the rare classes (words by the hash of their ending).
-3. The network (gru.py): WORDS frequent words in classes, RARE rare classes. Its output starts at the counts;
-   it trains on a sample of at most START_DOCS teaching documents (a documented bound), then every chunk trains on about one in SHARE of its own teaching documents
-   and the weights are averaged, so what it learns from grows with the corpus.
+3. The network (gru.py): the frequent words in classes, the others in rare classes; both grow with the vocabulary up to
+   MOST_WORDS and MOST_RARE, which bound a task's weights and moments to about 5 MB. Its output starts at the counts;
+   it starts on START_DOCS teaching documents at most, then every chunk trains on all its teaching documents
+   and the weights are averaged.
 4. Every whole document is scored in its chunk, the state carried from window to window. A rare word's probability is
    its class's times (c + 0.5) / (N_class + 0.5 (V_class + 1)).
 
@@ -35,13 +36,22 @@ from .gru import Gru
 from .shingles import pieces
 
 END = b"\n"  # no word holds white space
-WORDS, RARE = 512, 16
-CHUNK, START_DOCS, START_TOKENS, SHARE, LANES, RATE = 24_000_000, 300, 300_000, 16, 32, 0.01
+MOST_WORDS, LEAST_RARE, MOST_RARE = 4096, 16, 256  # rare: powers of two
+RUN = 64  # frequent words to a row
+CHUNK, START_DOCS, START_TOKENS, LANES, RATE = 24_000_000, 300, 300_000, 32, 0.01
 FOLDS, HELD = 5, 1
 
 
-def rare_class(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-3:]) % RARE
+def rare_class(word: bytes, rare: int = MOST_RARE) -> int:
+    return xxhash.xxh32_intdigest(word[-3:]) % rare
+
+
+def rare_classes(vocabulary: int) -> int:
+    """Number of rare classes: doubles until no class would have over 64 words beyond the frequent ones."""
+    rare = LEAST_RARE
+    while rare < MOST_RARE and vocabulary - MOST_WORDS > 64 * rare:
+        rare *= 2
+    return rare
 
 
 def _join(words: list[bytes]) -> bytes:
@@ -110,7 +120,7 @@ COUNTED = "kind string, chunk long, word binary, n long, v long, payload binary"
 
 
 def _count(rows: pa.Table) -> pa.Table:
-    """The words of one bucket -> `reply` rows (counts for each chunk), `top` words, and totals by rare class."""
+    """The words of one bucket -> `reply` rows (counts for each chunk), runs of `top` words, and totals by rare class."""
     total: dict[bytes, int] = {}
     parts = []
     for chunk, payload in zip(rows["chunk"].to_pylist(), rows["payload"], strict=True):
@@ -122,14 +132,16 @@ def _count(rows: pa.Table) -> pa.Table:
     out = [("reply", chunk, None, 0, 0, _put(at, np.fromiter((total[w] for w in words), np.int64, len(words)).tobytes())) for chunk, at, words in parts]
     known = [(c, w) for w, c in total.items() if c and w != END]
     known.sort(key=lambda x: (-x[0], x[1]))
-    out += [("top", 0, w, c, 1, None) for c, w in known[:WORDS]]
-    n, v = np.zeros(RARE + 1, np.int64), np.zeros(RARE + 1, np.int64)
+    for at in range(0, min(len(known), MOST_WORDS), RUN):
+        run = known[at : min(at + RUN, MOST_WORDS)]
+        out.append(("top", 0, run[0][1], run[0][0], len(run), _put(np.array([c for c, _ in run], np.int64).tobytes(), _join([w for _, w in run]))))
+    n, v = np.zeros(MOST_RARE + 1, np.int64), np.zeros(MOST_RARE + 1, np.int64)
     for c, w in known:
         r = rare_class(w)
         n[r] += c
         v[r] += 1
-    n[RARE] = total.get(END, 0)
-    out += [("class", r, None, int(n[r]), int(v[r]), None) for r in range(RARE + 1)]
+    n[MOST_RARE] = total.get(END, 0)
+    out.append(("class", 0, None, 0, 0, _put(n.tobytes(), v.tobytes())))
     kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
     return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(zip(("kind", "chunk", "word", "n", "v", "payload"), kinds, strict=True))})
 
@@ -139,19 +151,19 @@ class Lexicon:
 
     def __init__(self, top: list[tuple[bytes, int]], classes: dict[int, tuple[int, int]]):
         self.place = {END: 0} | {w: i + 1 for i, (w, _) in enumerate(top)}
-        ends = classes.get(RARE, (0, 0))[0]
+        ends = classes.get(MOST_RARE, (0, 0))[0]
         self.counts = np.array([ends, *(c for _, c in top)], float)
         self.n = sum(n for n, _ in classes.values())
         self.v = sum(v for _, v in classes.values()) + (ends > 0)
-        self.rare_n = np.array([classes.get(r, (0, 0))[0] for r in range(RARE)], float)
-        self.rare_v = np.array([classes.get(r, (0, 0))[1] for r in range(RARE)], float)
+        self.rare = rare_classes(self.v)
+        self.rare_n, self.rare_v = (np.array([classes.get(r, (0, 0))[k] for r in range(MOST_RARE)], float).reshape(-1, self.rare).sum(axis=0) for k in range(2))
         for w, c in top:
-            self.rare_n[rare_class(w)] -= c
-            self.rare_v[rare_class(w)] -= 1
+            self.rare_n[rare_class(w, self.rare)] -= c
+            self.rare_v[rare_class(w, self.rare)] -= 1
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         size = len(self.place)
-        return np.fromiter((self.place[w] if w in self.place else size + rare_class(w) for w in words), np.int64, len(words))
+        return np.fromiter((self.place[w] if w in self.place else size + rare_class(w, self.rare) for w in words), np.int64, len(words))
 
 
 def _open(payload: bytes):
@@ -160,11 +172,11 @@ def _open(payload: bytes):
     return np.frombuffer(docs, np.int64), np.frombuffer(null, bool), np.frombuffer(teaches, bool), sizes, np.frombuffer(ids, np.int32), _split(words)
 
 
-def _lessons(payload: bytes, lexicon: Lexicon, one_in: int) -> list[np.ndarray]:
-    docs, _, teaches, sizes, ids, words = _open(payload)
+def _lessons(payload: bytes, lexicon: Lexicon) -> list[np.ndarray]:
+    """The teaching documents of a chunk."""
+    _, _, teaches, sizes, ids, words = _open(payload)
     inputs, starts = lexicon.inputs(words), np.cumsum(sizes) - sizes
-    chosen = [i for i in np.flatnonzero(teaches).tolist() if xxhash.xxh32_intdigest(struct.pack("<q", int(docs[i]))) % one_in == 0]
-    return [inputs[ids[starts[i] : starts[i] + sizes[i]]] for i in chosen]
+    return [inputs[ids[starts[i] : starts[i] + sizes[i]]] for i in np.flatnonzero(teaches).tolist()]
 
 
 def _average(rows: pa.Table) -> pa.Table:
@@ -175,15 +187,13 @@ def _average(rows: pa.Table) -> pa.Table:
 
 
 def learn(docs: DataFrame, chunks: DataFrame, lexicon: Lexicon) -> Gru:
-    """The network: a start on a bounded sample, then one round of local training in every chunk, averaged."""
+    """The network: a start on a bounded sample, then one round of training in every chunk on all it has, averaged."""
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     first = docs.where(F.col("teaches") & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(START_DOCS)
     texts = docs.where("teaches").join(F.broadcast(first.select("doc_id").distinct()), "doc_id", "left_semi").select(F.encode("text", "UTF-8").alias("t")).collect()
     lessons = [lexicon.inputs([*bytes(r.t).lower().split(), END]) for r in sorted(texts, key=lambda r: bytes(r.t or b"")) if r.t is not None]
-    model = Gru(len(lexicon.place), RARE).prior(np.concatenate([lexicon.counts, lexicon.rare_n]))
-    if not lessons:
-        return model
-    for k in range(max(2, START_TOKENS // sum(map(len, lessons)))):
+    model = Gru(len(lexicon.place), lexicon.rare).prior(np.concatenate([lexicon.counts, lexicon.rare_n]))
+    for k in range(max(2, START_TOKENS // sum(map(len, lessons))) if lessons else 0):
         model.train(lessons, LANES, RATE, seed=k)
     sent = context.broadcast((model.pack(), lexicon, len(lexicon.place)))
 
@@ -191,8 +201,8 @@ def learn(docs: DataFrame, chunks: DataFrame, lexicon: Lexicon) -> Gru:
         flat, words, size = sent.value
         for batch in batches:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                lessons = _lessons(payload.as_py(), words, SHARE)
-                local = Gru(size, RARE).load(np.frombuffer(flat, np.float32))
+                lessons = _lessons(payload.as_py(), words)
+                local = Gru(size, words.rare).load(np.frombuffer(flat, np.float32))
                 local.train(lessons, LANES, RATE / 4, seed=chunk % 1000)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sum(map(len, lessons))], pa.int64()), pa.array([local.pack()], pa.binary())], ["chunk", "n", "payload"])
 
@@ -212,15 +222,18 @@ def score(docs: DataFrame) -> DataFrame:
     packed = materialize(docs.mapInArrow(_chunks(buckets), ROWS), "chunks", "kind")
     chunks = packed.where("kind = 'docs'")
     counted = materialize(packed.where("kind = 'words'").groupBy("bucket").applyInArrow(_count, COUNTED), "counts", "kind")
-    top = counted.where("kind = 'top'").orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    classes = counted.where("kind = 'class'").groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    lexicon = Lexicon([(bytes(r.word), r.n) for r in top], {r.chunk: (r.n, r.v) for r in classes})
+    top = counted.where("kind = 'top'").orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+    found = [_get(bytes(r.payload), 2) for r in top]  # a word of the first MOST_WORDS is in a run whose first word is
+    known = sorted((-c, w) for counts, words in found for c, w in zip(np.frombuffer(counts, np.int64).tolist(), _split(words), strict=True))
+    classes = [np.array([np.frombuffer(x, np.int64) for x in _get(bytes(r.payload), 2)]) for r in counted.where("kind = 'class'").toLocalIterator()]
+    totals = sum(classes, np.zeros((2, MOST_RARE + 1), np.int64))
+    lexicon = Lexicon([(w, -c) for c, w in known[:MOST_WORDS]], {r: (int(n), int(v)) for r, (n, v) in enumerate(totals.T)})
     model = learn(docs, chunks, lexicon)
     sent = spark.sparkContext.broadcast((model.pack(), lexicon, len(lexicon.place)))
 
     def run(batches):
         flat, lex, size = sent.value
-        net = Gru(size, RARE).load(np.frombuffer(flat, np.float32))
+        net = Gru(size, lex.rare).load(np.frombuffer(flat, np.float32))
         for batch in batches:
             for payload, replies in zip(batch.column(0), batch.column(1), strict=True):
                 ids_, null, teaches, sizes, ids, words = _open(payload.as_py())

@@ -96,3 +96,16 @@ def test_gradient_against_differences():
 
 def test_empty(spark):
     assert op.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_ids_teach_and_words_grow_with_the_vocabulary(spark):
+    """Documents without an id, over 512 words of one ending, each word followed by the same one."""
+    words = [f"{a}{b}{c}ing" for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmnprst"]
+    rows = [(None, " ".join(words[(7 * d + i) % 700] for i in range(700))) for d in range(60)]
+    got = op.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert all(r.doc_id is None and not r.held_out for r in got)
+    assert sum(r.score for r in got) > 0.99 * sum(r.base_score for r in got)
+    lexicon = op.Lexicon([(w.encode(), 60) for w in words], {0: (700 * 60, 700), op.MOST_RARE: (60, 0)})
+    assert len(lexicon.place) == 701
+    payload = op._put(np.zeros(2, np.int64).tobytes(), np.array([True, False]).tobytes(), np.array([True, True]).tobytes(), np.array([2, 1], np.int32).tobytes(), np.array([1, 0, 0], np.int32).tobytes(), op._join([op.END, words[0].encode()]))
+    assert [x.tolist() for x in op._lessons(payload, lexicon)] == [[1, 0], [0]]
