@@ -228,7 +228,7 @@ def robust_center(t):
 @query(f"{E}, w AS (SELECT event_id, event_type, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM e) SELECT event_id, rn || chr(10) || printf('%02d:%02d:%02d,%03d', CAST(floor(t / 3600) AS BIGINT), CAST(floor(t / 60) AS BIGINT) % 60, CAST(floor(t) AS BIGINT) % 60, CAST(round((t - floor(t)) * 1000) AS BIGINT)) || chr(10) || event_type AS entry FROM w WHERE t < 350000")
 def srt_entries(t):
     """K6, K7, M2, M3"""
-    x = timed(t).withColumn("rn", F.row_number().over(by_user())).where("t < 350000")
+    x = timed(t).withColumn("rn", F.row_number().over(by_user()))
     return x.select("event_id", F.concat_ws("\n", F.col("rn").cast("string"), T.srt_time(F.col("t")), "event_type").alias("entry"))
 
 
