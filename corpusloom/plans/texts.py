@@ -228,8 +228,8 @@ def language_confusion(t):
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '[^a-zA-Z0-9'' -]', '', 'g')) AS word FROM (SELECT doc_id, substr(text, 1, 60) AS text FROM documents)")
 def clean_word(t):
-    """Of the first 60 characters, as words are short."""
-    return t("documents").select("doc_id", T.clean_word(F.substring("text", 1, 60)).alias("word"))
+    """Of the whole text."""
+    return t("documents").select("doc_id", T.clean_word(F.col("text")).alias("word"))
 
 
 @query(r"SELECT page_id, CASE WHEN s = '' THEN 'video' ELSE s END AS stem FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS s FROM pages)")

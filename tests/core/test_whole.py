@@ -11,3 +11,9 @@ def test_srt_entries_after_a_hundred_hours(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: r.entry for r in QUERIES["srt_entries"](spark, str(tmp_path)).collect()}
     assert got == {1: "1\n00:00:00,000\na", 2: "2\n123:00:05,000\nb"}
+
+
+def test_clean_word_of_a_long_text(spark, tmp_path):
+    text = "it's, " * 40 + "end!"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.word for r in QUERIES["clean_word"](spark, str(tmp_path)).collect()] == ["it's " * 40 + "end"]
