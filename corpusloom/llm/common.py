@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space; everything between is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,10 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, else one made here (single machine)."""
+    """The folder all executors and the driver share: spark.checkpoint.dir; on a single machine, else, one made here."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         _ROOTS[app] = f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _ROOTS[app])
     return _ROOTS[app]
@@ -59,14 +65,40 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that may be sent to every task; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes in memory, that may be sent to every task; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16_000_000
+
+
+def _bytes(field) -> Column:
+    """About the bytes that a column takes in a row."""
+    c = F.col(f"`{field.name}`")
+    kind = field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+        return 24 + 8 * F.greatest(F.size(c), F.lit(0))
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return 64 + 4 * F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(8)
 
 
 def small(df: DataFrame, most: int | None = None) -> DataFrame:
-    """df marked for broadcast if it is counted to hold at most `most` (BROADCAST_ROWS) rows, else df itself."""
+    """df marked for broadcast if it is measured to hold at most `most` (BROADCAST_ROWS) rows and BROADCAST_BYTES, else df."""
     most = BROADCAST_ROWS if most is None else most
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    width = sum((_bytes(f) for f in df.schema), F.lit(8))
+    rows, size = df.limit(most + 1).agg(F.count("*"), F.sum(width.cast("long"))).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= BROADCAST_BYTES else df
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Each name, underscored until no column of `taken` has it (in any case)."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
 
 
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:

@@ -1,0 +1,107 @@
+r"""Numpy kernels for line de-duplication: lines of a batch of texts, their character shingles, registers and bands.
+
+All work is on arrays of code points of many lines at once; STEP code points at a time stay in the processor's cache.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+
+from .shingles import GOLD, M1, U, mix
+
+#: Characters to a shingle; registers to a band; bands.
+SHINGLE, ROWS, BANDS = 12, 3, 12
+REGISTERS = ROWS * BANDS
+STEP, FILL = 1 << 16, 1 << 20
+_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U) * M1)
+_BAND = mix(np.arange(1, BANDS + 1, dtype=U) * GOLD)
+_P1, _P2, _P4, _P8 = (U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+_BLANK = np.zeros(33, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_NONE = U(0xFFFFFFFFFFFFFFFF)
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def solid(c: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each line holds a character that is no ASCII white space."""
+    word = (c > 32) | ~_BLANK[np.minimum(c, 32)]
+    seen = np.concatenate(([0], np.cumsum(word)))
+    return seen[starts + sizes] > seen[starts]
+
+
+def windows(c: np.ndarray) -> np.ndarray:
+    """Hash of the SHINGLE code points from each position on (len(c) - SHINGLE + 1 of them)."""
+    n = len(c) - SHINGLE + 1
+    out = np.empty(max(0, n), U)
+    for lo in range(0, n, STEP):
+        x = c[lo : lo + STEP + SHINGLE - 1].astype(U)
+        x *= M1
+        x ^= x >> U(29)
+        x2 = x[:-1] * _P1 + x[1:]
+        x4 = x2[:-2] * _P2 + x2[2:]
+        x8 = x4[:-4] * _P4 + x4[4:]
+        out[lo : lo + STEP] = mix(x8[:-4] * _P8 + x4[8:])[: len(out) - lo]
+    return out
+
+
+def shingles(c: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """Hashes of all shingles of the lines, end to end, and how many each line has (one if it is shorter than one)."""
+    h = windows(c)
+    count = np.maximum(sizes - SHINGLE + 1, 1)
+    short = np.flatnonzero(sizes < SHINGLE)
+    first = np.cumsum(count) - count
+    at = np.repeat(starts - first, count) + np.arange(int(count.sum()))
+    out = h[np.minimum(at, max(0, len(h) - 1))] if len(h) else np.zeros(len(at), U)
+    for i in short.tolist():
+        out[first[i]] = xxhash.xxh64_intdigest(c[starts[i] : starts[i] + sizes[i]].tobytes())
+    return out, first, count
+
+
+def registers(h: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(lines, REGISTERS): one hash deals a shingle to a register, which keeps its least value; a register that stays
+    empty takes the least value under a hash of its own. So each is a min-wise choice for sets of any size."""
+    lines = len(first)
+    low = np.full(lines * REGISTERS, _NONE)
+    for lo in range(0, len(h), STEP):
+        x = h[lo : lo + STEP]
+        a = int(np.searchsorted(first, lo, "right")) - 1
+        b = int(np.searchsorted(first, lo + len(x), "left"))
+        ends = np.minimum(first[a:b] + count[a:b], lo + len(x)) - np.maximum(first[a:b], lo)
+        slot = ((x >> U(32)) * U(REGISTERS) >> U(32)).astype(np.int64) + np.repeat(np.arange(a, b) * REGISTERS, ends)
+        np.minimum.at(low, slot, x)
+    empty = np.flatnonzero(low == _NONE)
+    owner = empty // REGISTERS
+    need = count[owner]
+    total = np.cumsum(need)
+    at = 0
+    while at < len(empty):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + FILL, "right")))
+        n, line = need[at:to], owner[at:to]
+        begin = np.cumsum(n) - n
+        index = np.repeat(first[line] - begin, n) + np.arange(int(n.sum()))
+        low[empty[at:to]] = np.minimum.reduceat(mix(h[index] ^ np.repeat(_SEEDS[empty[at:to] % REGISTERS], n)), begin)
+        at = to
+    return low.reshape(lines, REGISTERS)
+
+
+def bands(regs: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) as signed 64-bit."""
+    x = regs.reshape(len(regs), BANDS, ROWS)
+    out = np.broadcast_to(_BAND, x.shape[:2]).copy()
+    for j in range(ROWS):
+        out = mix(out * GOLD + x[:, :, j])
+    return out.view(np.int64)
+
+
+def shingle_sets(lines: list[str]):
+    """Sorted distinct shingle hashes of each line, and all registers."""
+    c = codes("\n".join(lines))
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    h, first, count = shingles(c, starts, sizes)
+    regs = registers(h, first, count)
+    return [np.unique(h[f : f + n]) for f, n in zip(first.tolist(), count.tolist(), strict=True)], regs
