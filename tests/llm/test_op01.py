@@ -73,3 +73,24 @@ def test_repeating_and_short_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
     assert got == brute(rows)
+
+
+def test_recall_at_the_threshold_by_size(spark):
+    """One-line documents in pairs whose similarity is 3/4 or just over, of 4 to 64 shingles."""
+    rnd = random.Random(12)
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for shingles in (4, 8, 16, 64):
+        rows = []
+        for d in range(0, 1200, 2):
+            line = some(shingles + 11)
+            rows += [(d, line), (d + 1, line[: len(line) - shingles // 4])]
+        got = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert sum(got.values()) >= 0.99 * 600 and not any(got[d] for d in range(0, 1200, 2))
+
+
+def test_clashing_columns_stay(spark):
+    names = ["_id", "_hash", "_gone", "_all", "line", "id", "check", "band", "component", "n", "a", "b", "text_hash", "line_no", "m0", "t0"]
+    df = spark.createDataFrame([(1, "one line of words\nanother line", *names), (2, "One line of words", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r.doc_id: r.asDict() for r in dedup_lines(df).collect()}
+    assert all(got[d][n] == n for d in (1, 2) for n in names)
+    assert (got[1]["n_removed"], got[2]["n_removed"], got[2]["text"]) == (0, 1, "")
