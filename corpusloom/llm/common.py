@@ -101,6 +101,15 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def buckets(df: DataFrame, each: int, least: int) -> int:
+    """Number of buckets so that one takes about `each` bytes of df as stored, `least` or more.
+
+    The size is the optimizer's figure; where it has none (rows of the driver's), `least` it is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 2**60 else min(1_000_000, max(least, -(-size // each)))
+
+
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Union-find over edges (a, b): returns (id, component), component being the smallest id reachable.
 

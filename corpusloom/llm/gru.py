@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, IN_CLASS, WINDOW = 16, 32, 32
+HIDDEN, IN_CLASS, WINDOW, BLOCK = 16, 64, 32, 2048
 F32 = np.float32
 
 
@@ -76,15 +76,25 @@ class Gru:
     def log_probs(self, states, ids):
         """Natural log P(id | state) of frequent words, or of the rare class."""
         cls = self.class_of(ids)
-        a = states @ self.wc + self.bc
-        out = a[np.arange(len(ids)), cls] - np.log(np.exp(a).sum(axis=1))
+        out = np.empty(len(ids), np.result_type(states, self.wc))
+        for at in range(0, len(ids), BLOCK):  # a block's arrays stay in the processor's cache
+            a = states[at : at + BLOCK] @ self.wc
+            a += self.bc
+            a -= a.max(axis=1, keepdims=True)
+            out[at : at + BLOCK] = a[np.arange(len(a)), cls[at : at + BLOCK]]
+            np.exp(a, out=a)
+            out[at : at + BLOCK] -= np.log(a.sum(axis=1))
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.frequent + 1))
         for c in range(self.frequent):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                b = states[at] @ self.ww[c] + self.bw[c]
-                out[at] += b[np.arange(len(at)), ids[at] - c * IN_CLASS] - np.log(np.exp(b).sum(axis=1))
+            for lo in range(cuts[c], cuts[c + 1], BLOCK):
+                at = order[lo : min(lo + BLOCK, cuts[c + 1])]
+                b = states[at] @ self.ww[c]
+                b += self.bw[c]
+                b -= b.max(axis=1, keepdims=True)
+                got = b[np.arange(len(at)), ids[at] - c * IN_CLASS]
+                np.exp(b, out=b)
+                out[at] += got - np.log(b.sum(axis=1))
         return out
 
     def score(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lanes: int = 4096) -> np.ndarray:
@@ -127,9 +137,10 @@ class Gru:
             grads, h = self.gradient(x, y, h, start)
             k += 1
             for n in self.NAMES:
-                m[n] += 0.1 * (grads[n] - m[n])
-                v[n] += 0.001 * (grads[n] ** 2 - v[n])
-                setattr(self, n, (getattr(self, n) - rate * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.999**k)) + 1e-8)).astype(F32))
+                m[n] += F32(0.1) * (grads[n] - m[n])
+                v[n] += F32(0.001) * (grads[n] ** 2 - v[n])
+                step = np.sqrt(v[n] * F32(1 / (1 - 0.999**k))) + F32(1e-8)
+                setattr(self, n, getattr(self, n) - F32(rate / (1 - 0.9**k)) * m[n] / step)
         return self
 
     def gradient(self, x, y, h, start):
@@ -145,27 +156,35 @@ class Gru:
         count = max(1, int(real.sum()))
         g = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         cls = self.class_of(np.where(real, ids, 0))
-        a = s @ self.wc + self.bc
-        p = np.exp(a - a.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(ids)), cls] -= 1
-        p[~real] = 0
-        p /= count
-        g["wc"], g["bc"], ds = s.T @ p, p.sum(axis=0), p @ self.wc.T
+        ds = np.empty_like(s)
+        for at in range(0, len(ids), BLOCK):
+            own = s[at : at + BLOCK]
+            p = own @ self.wc
+            p += self.bc
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p *= (F32(1 / count) / p.sum(axis=1))[:, None]
+            p[np.arange(len(p)), cls[at : at + BLOCK]] -= F32(1 / count)
+            p *= real[at : at + BLOCK, None]
+            g["wc"] += own.T @ p
+            g["bc"] += p.sum(axis=0)
+            ds[at : at + BLOCK] = p @ self.wc.T
         order = np.flatnonzero(real)[np.argsort(cls[real], kind="stable")]
         cuts = np.searchsorted(cls[order], np.arange(self.frequent + 1))
         for c in range(self.frequent):
             at = order[cuts[c] : cuts[c + 1]]
             if len(at):
-                b = s[at] @ self.ww[c] + self.bw[c]
-                q = np.exp(b - b.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(at)), ids[at] - c * IN_CLASS] -= 1
-                q /= count
-                g["ww"][c], g["bw"][c] = s[at].T @ q, q.sum(axis=0)
+                own = s[at]
+                q = own @ self.ww[c]
+                q += self.bw[c]
+                q -= q.max(axis=1, keepdims=True)
+                np.exp(q, out=q)
+                q *= (F32(1 / count) / q.sum(axis=1))[:, None]
+                q[np.arange(len(at)), ids[at] - c * IN_CLASS] -= F32(1 / count)
+                g["ww"][c], g["bw"][c] = own.T @ q, q.sum(axis=0)
                 ds[at] += q @ self.ww[c].T
         ds = ds.reshape(steps, -1, n)
-        dh = np.zeros_like(h)
+        dh, moved = np.zeros_like(h), []
         for t in range(steps - 1, -1, -1):
             before, z, r, c, uc = kept[t]
             dh = dh + ds[t]
@@ -173,8 +192,11 @@ class Gru:
             dr = dc * uc * r * (1 - r)
             dx = np.concatenate([dz, dr, dc], axis=1)
             du = np.concatenate([dz, dr, dc * r], axis=1)
-            np.add.at(g["wx"], x[:, t], dx)
+            moved.append(dx)
             g["bh"] += dx.sum(axis=0)
             g["uh"] += before.T @ du
             dh = np.where((x[:, t] == start)[:, None], F32(0), dh * (1 - z) + du @ self.uh.T)
+        rows, dx = x.T[::-1].ravel(), np.concatenate(moved)
+        for k in range(dx.shape[1]):
+            g["wx"][:, k] = np.bincount(rows, dx[:, k], len(self.wx))
         return g, h

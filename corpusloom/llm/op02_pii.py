@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .shingles import pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-MAX_TOKENS, MAX_GROUPS, AROUND = 24, 6, 48
+MAX_TOKENS, MAX_GROUPS = 24, 6
 EPOCHS, STEP, DECAY, SENTENCES, SEED = 20, 0.5, 1e-3, 300, 7
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -132,14 +133,17 @@ def features(text: str, a: int, b: int) -> list[str]:
 
 
 def regions(t: str) -> list[tuple[int, int]]:
-    """Parts of lines within AROUND characters of a trigger; elsewhere no candidate segment exists."""
+    """Parts of lines within MAX_TOKENS tokens of a trigger; elsewhere no candidate segment exists."""
     out: list[tuple[int, int]] = []
+    starts, stop = [], -1
     for m in _TRIGGER.finditer(t):
-        if out and m.end() <= out[-1][1] - AROUND:
-            continue
-        a = max(0, m.start() - AROUND, t.rfind("\n", max(0, m.start() - AROUND), m.start()) + 1)
-        stop = t.find("\n", m.end(), m.end() + AROUND)
-        b = stop if stop >= 0 else min(len(t), m.end() + AROUND)
+        if m.start() >= stop:
+            stop = t.find("\n", m.end())
+            stop = len(t) if stop < 0 else stop
+            starts = [x.start() for x in _TOKEN.finditer(t, t.rfind("\n", 0, m.start()) + 1, stop)]
+        first, last = bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1
+        a = starts[max(0, first - MAX_TOKENS)]
+        b = starts[last + MAX_TOKENS + 1] if last + MAX_TOKENS + 1 < len(starts) else stop
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:

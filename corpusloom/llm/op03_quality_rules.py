@@ -86,10 +86,11 @@ def judge(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their failing lines removed; same columns as docs."""
     names = docs.columns
-    x = judged(docs.select(*names))
+    x = judged(docs.select("text", F.struct(*[f"`{c}`" for c in names]).alias("_row")))  # user columns cannot clash there
     verdict = _verdict(x)
     good = ~verdict["base_failed"] & (100 * verdict["lost_chars"] <= LOSS_PERCENT * verdict["word_chars"])
-    return x.where(good).withColumn("text", F.array_join("_good", "\n")).select(*names)
+    x = x.where(good).select("_row", F.array_join("_good", "\n").alias("_text"))
+    return x.select(*[F.col("_text").alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`") for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

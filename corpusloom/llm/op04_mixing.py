@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, table
+from .common import SPACE, fresh, materialize, table
 
 WEIGHTS, MOST, BLOCK, SHARD_TOKENS, SEED = (1, 2, 3), 3, 32, 500_000, 20260101
 
@@ -104,17 +104,18 @@ def mix_slim(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs with size, source_size, target and taken (words that the mix takes, repeats counted) added.
+    """docs with size, source_size, target and taken (words that the mix takes, repeats counted) added; columns of these names are replaced.
 
     Rows of one doc_id, source and size are taken alike but for the run's ends: the n-th by text gets the n-th least.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
     same = ["doc_id", "source", "size"]
-    taken = mix_slim(docs).withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("taken")))
-    rows = sizes(docs.select(*names)).withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("text"))))
+    (nth,) = fresh(names, "_nth")
+    taken = mix_slim(docs.select("doc_id", "source", "text")).withColumn(nth, F.row_number().over(Window.partitionBy(*same).orderBy("taken")))
+    rows = sizes(docs.select(*[f"`{c}`" for c in names])).withColumn(nth, F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("text"))))
     x, y = rows.alias("x"), taken.alias("y")
-    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*same, "_nth")]
-    return x.join(y, on).select(*[f"x.{c}" for c in names], "x.size", "y.source_size", "y.target", "y.taken")
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*same, nth)]
+    return x.join(y, on).select(*[f"x.`{c}`" for c in names], "x.size", "y.source_size", "y.target", "y.taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,14 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import buckets, materialize, table
 from .gru import Gru
 from .shingles import pieces
 
 END = b"\n"  # no word holds white space
-MOST_WORDS, LEAST_RARE, MOST_RARE = 4096, 16, 256  # rare: powers of two
+MOST_WORDS, LEAST_RARE, MOST_RARE = 2048, 16, 64  # rare: powers of two
 RUN = 64  # frequent words to a row
-CHUNK, START_DOCS, START_TOKENS, LANES, RATE = 24_000_000, 300, 300_000, 32, 0.01
+CHUNK, START_DOCS, START_TOKENS, RATE = 24_000_000, 300, 300_000, 0.01
+#: Documents read side by side in the start, and in a chunk: a wide window costs numpy little more than a narrow one.
+START_LANES, LANES = 32, 512
+BUCKET_BYTES = 16_000_000
 FOLDS, HELD = 5, 1
 
 
@@ -189,12 +192,14 @@ def _average(rows: pa.Table) -> pa.Table:
 def learn(docs: DataFrame, chunks: DataFrame, lexicon: Lexicon) -> Gru:
     """The network: a start on a bounded sample, then one round of training in every chunk on all it has, averaged."""
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
-    first = docs.where(F.col("teaches") & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(START_DOCS)
-    texts = docs.where("teaches").join(F.broadcast(first.select("doc_id").distinct()), "doc_id", "left_semi").select(F.encode("text", "UTF-8").alias("t")).collect()
+    teaching = docs.where(F.col("teaches") & F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    first = teaching.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"), F.col("hash").alias("t")).orderBy("h", "d", "t").limit(START_DOCS).distinct()
+    texts = teaching.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("t"))).dropDuplicates(["doc_id", "hash"])
+    texts = texts.select(F.encode("text", "UTF-8").alias("t")).limit(START_DOCS).collect()
     lessons = [lexicon.inputs([*bytes(r.t).lower().split(), END]) for r in sorted(texts, key=lambda r: bytes(r.t or b"")) if r.t is not None]
     model = Gru(len(lexicon.place), lexicon.rare).prior(np.concatenate([lexicon.counts, lexicon.rare_n]))
     for k in range(max(2, START_TOKENS // sum(map(len, lessons))) if lessons else 0):
-        model.train(lessons, LANES, RATE, seed=k)
+        model.train(lessons, START_LANES, RATE, seed=k)
     sent = context.broadcast((model.pack(), lexicon, len(lexicon.place)))
 
     def run(batches):
@@ -203,7 +208,7 @@ def learn(docs: DataFrame, chunks: DataFrame, lexicon: Lexicon) -> Gru:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 lessons = _lessons(payload.as_py(), words)
                 local = Gru(size, words.rare).load(np.frombuffer(flat, np.float32))
-                local.train(lessons, LANES, RATE / 4, seed=chunk % 1000)
+                local.train(lessons, LANES, RATE / 2, seed=chunk % 1000)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sum(map(len, lessons))], pa.int64()), pa.array([local.pack()], pa.binary())], ["chunk", "n", "payload"])
 
     trained = chunks.select("chunk", "payload").mapInArrow(run, "chunk long, n long, payload binary")
@@ -216,10 +221,10 @@ def learn(docs: DataFrame, chunks: DataFrame, lexicon: Lexicon) -> Gru:
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    number = buckets(docs, BUCKET_BYTES, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rest = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(HELD + 1))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (rest != HELD).alias("teaches"), F.col("text").cast("string").alias("text"))
-    packed = materialize(docs.mapInArrow(_chunks(buckets), ROWS), "chunks", "kind")
+    packed = materialize(docs.mapInArrow(_chunks(number), ROWS), "chunks", "kind")
     chunks = packed.where("kind = 'docs'")
     counted = materialize(packed.where("kind = 'words'").groupBy("bucket").applyInArrow(_count, COUNTED), "counts", "kind")
     top = counted.where("kind = 'top'").orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()

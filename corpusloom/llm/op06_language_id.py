@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 from .shingles import pieces
 
 GRAMS, HASH_BITS = (1, 2, 3), 18
@@ -153,10 +153,12 @@ def fold(doc_id):
 
 def fit(docs: DataFrame) -> Model | None:
     """A model of the sample (see above), or None if there is nothing to learn from."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
-    chosen = sample.select("doc_id", F.col("lang").alias("_l")).distinct()
-    texts = docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["doc_id"]) & (docs["lang"] == chosen["_l"])).where(F.col("text").isNotNull()).select("lang", "text")
+    docs = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
+    sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", "h").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
+    chosen = sample.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("h").alias("_h")).distinct()
+    same = (F.col("doc_id") == F.col("_d")) & (F.col("lang") == F.col("_l")) & (F.col("h") == F.col("_h"))
+    texts = docs.join(F.broadcast(chosen), same).dropDuplicates(["doc_id", "lang", "h"]).select("lang", "text")  # a repeated row counts once
     rows = sorted((r.lang, bytes(r.grams), [bytes(x) for x in r.parts]) for r in texts.mapInArrow(_sets, "lang string, grams binary, parts array<binary>").collect())
     ids = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
     rows = [(lang, ids(x), [ids(y) for y in parts]) for lang, x, parts in rows if x]
@@ -166,10 +168,12 @@ def fit(docs: DataFrame) -> Model | None:
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, text, lang, ...) -> the columns `keep` (None: all) of docs, with lang_pred, lang_score and lang_near."""
+    """(doc_id, text, lang, ...) -> the columns `keep` (None: all) of docs, with lang_pred, lang_score and lang_near; columns of these
+    names are replaced."""
     model = fit(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in keep or docs.columns if c not in ("lang_pred", "lang_score", "lang_near")]
+    names = [c for c in keep or docs.columns if c.lower() not in ("lang_pred", "lang_score", "lang_near")]
+    (scored,) = fresh(names, "_scored")
 
     def run(batches):
         m = sent.value
@@ -181,8 +185,8 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 near = m.near(sets, lang) if m else [False] * len(sets)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.bool_())], [*names, "lang_pred", "lang_score", "lang_near"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return docs.select(F.col("text").cast("string").alias("_scored"), *names).mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_near boolean")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in names]).schema.fields)
+    return docs.select(F.col("text").cast("string").alias(scored), *[f"`{c}`" for c in names]).mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_near boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

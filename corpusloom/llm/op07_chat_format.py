@@ -62,7 +62,7 @@ def render(turns: DataFrame) -> DataFrame:
     x = materialize(numbered(turns), "numbered")
     gone = snapshots(x).select(F.col("conv_id").alias("_c"))
     kept = x.join(gone, F.col("conv_id").eqNullSafe(F.col("_c")), "left_anti")
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit("<|end|>"))
+    line = F.concat(F.lit("<|"), F.replace(F.replace(F.coalesce("role", F.lit("unknown")), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), F.lit("|>\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit("<|end|>"))
     kept = kept.select("conv_id", F.floor((F.col("k") - 1) / PIECE).cast("long").alias("piece"), F.struct("k", line.alias("line")).alias("turn"))
     out = kept.groupBy("conv_id", "piece").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list("turn")).alias("turns"))
     return out.select("conv_id", "piece", "n_turns", F.array_join(F.transform("turns", lambda t: t["line"]), "\n").alias("text"))
@@ -78,7 +78,7 @@ c AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, r
 gone AS (SELECT DISTINCT a.conv_id FROM c a JOIN c b ON a.l[1] = b.l[1] AND b.l[1:len(a.l)] = a.l AND (len(b.l) > len(a.l) OR b.conv_id < a.conv_id)),
 k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k, role, text FROM t WHERE conv_id NOT IN (SELECT conv_id FROM gone))
 SELECT conv_id, CAST((k - 1) // {PIECE} AS BIGINT) AS piece, count(*) AS n_turns,
-       string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>', chr(10) ORDER BY k) AS text
+       string_agg('<|' || replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>', chr(10) ORDER BY k) AS text
 FROM k GROUP BY conv_id, (k - 1) // {PIECE}
 """
 

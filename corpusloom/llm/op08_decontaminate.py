@@ -27,8 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
-from .common import SPACE, materialize, small, table
+from .common import SPACE, fresh, materialize, small, table
 
 SHINGLE, PERCENT, RADIUS, BITS = 5, 75, 20, 64
 _WIDTH = BITS // (RADIUS + 1)  # bits of a block; the last one takes the rest
@@ -88,7 +87,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = materialize(found.distinct(), "hits")
 
     at = hits.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("size", "k", "start")).alias("at"))
-    at = F.broadcast(at) if hits.count() <= common.BROADCAST_ROWS else at  # by its hits: a row holds as many as its text
+    at = small(materialize(at, "at"))
     texts = docs.join(at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
     windows = texts.select("doc_id", "text_hash", F.explode_outer(F.transform("at", lambda v: F.struct(v["size"].alias("size"), v["k"].alias("k"), v["start"].alias("start"), F.slice("words", v["start"] + 1, v["size"]).alias("words")))).alias("w"))
     windows = materialize(_fingerprinted(windows.select("doc_id", "text_hash", "w.*")).drop("words"), "windows")
@@ -104,9 +103,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates; same columns as docs."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    key, hashed = fresh(docs.columns, "_id", "_hash")
+    bad = matches(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed)).distinct()
     bad = materialize(bad, "contaminated")
-    return docs.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    return docs.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(hashed)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

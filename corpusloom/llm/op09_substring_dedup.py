@@ -9,7 +9,8 @@ is removed; windows are judged on the input.
 Skew. A task first sorts its own windows, CHUNK words at a time: windows that repeat within the chunk are settled
 there, and one of each is sent. So a passage that a third of all documents hold reaches its bucket once per chunk.
 
-Buckets. BUCKETS_PER_PARTITION times spark.sql.shuffle.partitions, so the usual knob sizes them.
+Buckets. One for every BUCKET_BYTES of input as stored, and BUCKETS_PER_PARTITION times spark.sql.shuffle.partitions at
+least, so a bucket's size does not grow with the input.
 
 Cases. Null text: no words (n_words 0, the hash of the empty string). Documents under WINDOW words: nothing removed.
 Rows that repeat a doc_id: each counts as a document of its own (equal texts repeat each other). Null doc_id: handled
@@ -26,14 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, buckets, table
 from .shingles import M1, U, WordHashes, mix, pieces
 
 WINDOW, MMER = 35, 4
 CHUNK = 12_000_000  # bytes of text that a task sorts at once
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION, BUCKET_BYTES = 4, 4_000_000
 _STEP = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 2**64)
+_LETTERS = mix(np.arange(1, 257, dtype=U) * M1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -51,21 +53,22 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * _powers(_BACK, n))
 
 
-def repeated(words: list[bytes], hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the windows at `starts`: which repeat, and which are not the first of their kind. Equal words decide."""
+def repeated(text, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows text[begin:end]: which repeat, and which are not the first of their kind. Equal words decide."""
     order = np.argsort(hashes, kind="stable")
     x = hashes[order]
     twin = np.flatnonzero(x[1:] == x[:-1])
-    many, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    for i, j in zip(order[twin].tolist(), order[twin + 1].tolist(), strict=True):
-        a, b = starts[i], starts[j]
-        if words[a : a + WINDOW] == words[b : b + WINDOW]:
+    many, later = np.zeros(len(begins), bool), np.zeros(len(begins), bool)
+    one, two = order[twin], order[twin + 1]
+    for i, j, a, b, c, d in zip(one.tolist(), two.tolist(), begins[one].tolist(), ends[one].tolist(), begins[two].tolist(), ends[two].tolist(), strict=True):
+        if text[a:b] == text[c:d]:
             many[i] = many[j] = later[j] = True
         else:  # two texts with one hash: look at all windows with it
             same = [k for k in order[np.searchsorted(x, hashes[i]) : np.searchsorted(x, hashes[i], "right")].tolist()]
             seen: dict = {}
             for k in sorted(same):
-                key = tuple(words[starts[k] : starts[k] + WINDOW])
+                key = text[begins[k] : ends[k]]
+                key = key if isinstance(key, bytes) else tuple(key)
                 if key in seen:
                     many[k] = many[seen[key]] = later[k] = True
                 else:
@@ -109,7 +112,7 @@ def _pack(buckets: int):
         at = np.flatnonzero(doc[: n] == doc[WINDOW - 1 :])  # windows inside one document
         if not len(at):
             return
-        many, later = repeated(words, window_hashes(h, WINDOW)[at], at)
+        many, later = repeated(words, at, at + WINDOW, window_hashes(h, WINDOW)[at])
         ids, texts_hash = batch.column(0).cast(pa.int64()), batch.column(1)
         rows = [[], [], [], []]
 
@@ -159,10 +162,12 @@ def _by(keys: np.ndarray, values: np.ndarray):
 
 
 def _count(rows: pa.Table) -> pa.Table:
-    """The rows of one bucket -> the ranges that windows repeated across chunks cover, and those settled before."""
+    """The rows of one bucket -> the ranges that windows repeated across chunks cover, and those settled before.
+
+    The words stay one byte string: a window's hash is a difference of running sums over its bytes.
+    """
     out = [[], [], []]
-    heads, words, starts, docs, begins, base = [], [], [], [], [], 0
-    press, hashes = zstandard.ZstdDecompressor(), WordHashes()
+    heads, bodies, press = [], [], zstandard.ZstdDecompressor()
     for text_hash, doc_id, packed in zip(rows["text_hash"], rows["doc_id"], rows["packed"], strict=True):
         if text_hash.is_valid:
             for x, v in zip(out, (doc_id.as_py(), text_hash.as_py(), packed.as_py()), strict=True):
@@ -170,21 +175,25 @@ def _count(rows: pa.Table) -> pa.Table:
             continue
         raw = press.decompress(packed.as_py())
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        head = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(n, 4)
-        body = raw[8 + 32 * n :]
-        sizes = np.array([x.count(b" ") + 1 for x in body.split(b"\n")], np.int64)
-        words += body.split()
-        at = np.cumsum(sizes) - sizes
-        runs = sizes - WINDOW + 1
+        heads.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(n, 4))
+        bodies.append(raw[8 + 32 * n :])
+    if heads:
+        head, body = np.concatenate(heads), b"\n".join(bodies)
+        del heads, bodies
+        letters = np.frombuffer(body, np.uint8)
+        gaps = np.flatnonzero((letters == 32) | (letters == 10))
+        word_at, word_end = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(letters)]))
+        last = np.concatenate((np.flatnonzero(letters[gaps] == 10), [len(gaps)]))  # of each super-k-mer, its last word
+        first = np.concatenate(([0], last[:-1] + 1))
+        runs = last - first + 2 - WINDOW
         within = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-        starts.append(np.repeat(at + base, runs) + within)
-        docs.append(np.repeat(np.arange(n) + sum(map(len, heads)), runs))
-        begins.append(np.repeat(head[:, 3], runs) + within)
-        heads.append(head)
-        base += int(sizes.sum())
-    if words:
-        start, head, doc, begin = np.concatenate(starts), np.concatenate(heads), np.concatenate(docs), np.concatenate(begins)
-        many, _ = repeated(words, window_hashes(hashes.of(words), WINDOW)[start], start)
+        start = np.repeat(first, runs) + within
+        doc, begin = np.repeat(np.arange(len(head)), runs), np.repeat(head[:, 3], runs) + within
+        sums = np.concatenate(([U(0)], np.cumsum(_LETTERS[letters] * _powers(_STEP, len(letters)), dtype=U)))
+        a, b = word_at[start], word_end[start + WINDOW - 1]
+        hashes = mix((sums[b] - sums[a]) * _powers(_BACK, len(letters))[a])
+        del sums
+        many, _ = repeated(body, a, b, hashes)
         doc, begin = doc[many], begin[many]
         if len(doc):
             owner = head[doc, :3]
@@ -219,8 +228,8 @@ def _cut(batches):
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), ranges: packed [start, end) word ranges to remove, as a list."""
-    buckets = max(64, BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_pack(buckets), SCHEMA)
+    number = buckets(docs, BUCKET_BYTES, max(64, BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_pack(number), SCHEMA)
     found = found.groupBy("bucket").applyInArrow(_count, "doc_id long, text_hash long, packed binary")
     return found.groupBy("doc_id", "text_hash").agg(F.collect_list("packed").alias("ranges"))
 

@@ -4,9 +4,11 @@ A document's set is its distinct five-word shingles (words: no ASCII white space
 registers of 16 bits (leading-zero count and 10 mantissa bits); four registers make a band of one long. Bands propose,
 a collision-corrected Jaccard estimate thins out, the full sets decide, union-find groups.
 
+Memory. Texts are read in pieces, and blocks hold BLOCK sets or BLOCK_BYTES, so a task holds two blocks of bounded size.
+
 Skew. Equal sets share a 16-byte key and are one node, so thousands of copies cost one. Within a band, members are
 compared with one centre (its least key), which is linear. Only bands that still hold more than one component after
-that are looked at again: their members, grouped by the bands they share, are cut into blocks of BLOCK sets, and each
+that are looked at again: their members, grouped by the bands they share, are cut into blocks, and each
 pair of blocks is a task that compares registers, skips what is connected already and emits only confirmed links. So
 no link that a band proposes is lost, no task holds more than two blocks, and no pairs are written out.
 
@@ -28,19 +30,22 @@ from .common import SPACE, connected_components, materialize, table
 PERCENT = 75
 #: A pair is compared in full if its estimate reaches this: five standard deviations of 128 registers below 0.75.
 LEAST_ESTIMATE = 0.55
-#: Sets in a block.
-BLOCK = 1000
+#: Sets, and bytes of them, in a block.
+BLOCK, BLOCK_BYTES = 1000, 16_000_000
 SIGNED = "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>"
 SETS = "key binary, regs binary, shingles binary"
 
 
 def _sets(batches, column=1):
+    """(piece of a batch, row, set): pieces hold a bounded number of bytes of text, whatever the batch holds."""
     hashes = S.WordHashes()
-    for batch in batches:
-        texts = batch.column(column).cast(pa.binary()).to_pylist()
-        for i, t in enumerate(texts):
-            texts[i] = None
-            yield batch, i, S.shingle_set(hashes.of(t.lower().split())) if t else np.empty(0, S.U)
+    for whole in batches:
+        for lo, hi in S.pieces(whole.column(column).cast(pa.binary())):
+            batch = whole.slice(lo, hi - lo)
+            texts = batch.column(column).cast(pa.binary())
+            for i in range(batch.num_rows):
+                t = texts[i].as_py()
+                yield batch, i, S.shingle_set(hashes.of(t.lower().split())) if t else np.empty(0, S.U)
 
 
 def _sign(batches):
@@ -96,11 +101,10 @@ def _tile(rows: pa.Table) -> pa.Table:
     """The sets of one block, or of two: links that connect what was not connected, a spanning forest of them."""
     block = rows["block"].to_numpy()
     order = np.argsort(block, kind="stable")
-    rows = rows.take(pa.array(order))
-    keys, block = rows["key"].to_pylist(), block[order]
-    _, label = np.unique(np.array([x.hex() for x in rows["component"].to_pylist()]), return_inverse=True)
-    regs = np.stack([np.frombuffer(x, np.uint16) for x in rows["regs"].to_pylist()])
-    sets = [np.frombuffer(x, S.U) for x in rows["shingles"].to_pylist()]
+    keys, block = rows["key"].take(pa.array(order)).to_pylist(), block[order]
+    _, label = np.unique(np.array([x.hex() for x in rows["component"].take(pa.array(order)).to_pylist()]), return_inverse=True)
+    regs = np.stack([np.frombuffer(rows["regs"][i].as_buffer(), np.uint16) for i in order.tolist()])
+    sets = [np.frombuffer(rows["shingles"][i].as_buffer(), S.U) for i in order.tolist()]  # views, no copies
     size = np.array([len(x) for x in sets])
     second = int(np.searchsorted(block, block[0], "right"))
     alone = second == len(block)
@@ -126,8 +130,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(banded.join(several, "band").distinct(), "members")
     stars = materialize(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
 
-    reps = rows.join(members.select("key").distinct(), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(reps, F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text")
+    reps = rows.join(members.select("key").distinct(), "key").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("key", "r.*")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(reps, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("key", "text")
     sets = materialize(texts.mapInArrow(_full, SETS).dropDuplicates(["key"]), "sets")
 
     left = sets.select(F.col("key").alias("a"), F.col("regs").alias("regs_a"), F.col("shingles").alias("set_a"))
@@ -142,7 +147,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not again.isEmpty():
         group = connected_components(again.select(F.col("key").alias("a"), F.col("centre").alias("b")))
         group = again.select("key", "component").distinct().join(group.select(F.col("id").alias("key"), F.col("component").alias("grp")), "key")
-        blocks = group.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        weight = sets.select("key", F.octet_length("shingles").alias("bytes"))
+        of_size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES))
+        blocks = group.join(weight, "key").groupBy("grp").agg(of_size.cast("int").alias("blocks"))
         dealt = group.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "component").join(sets, "key")

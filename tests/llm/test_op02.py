@@ -90,3 +90,8 @@ def test_query_rows(spark, monkeypatch, field):
         if d is None:
             assert r.spans == "email:5:25"
     assert op.find(df.limit(0)).count() == 0
+
+
+def test_region_holds_long_tokens():
+    t = "q" * 200 + " (at) example.com and more"
+    assert op.regions(t)[0][0] == 0

@@ -33,3 +33,10 @@ def test_clean_removes_lines_and_keeps_columns(spark):
     df = spark.createDataFrame([(1, "Home | About | Contact\n" + PROSE, "s"), (1, PROSE, None), (None, "too short", "s")], "doc_id long, text string, source string")
     assert sorted(tuple(r) for r in clean(df).fillna("").collect()) == [(1, PROSE, ""), (1, PROSE, "s")]
     assert judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clean_keeps_clashing_columns(spark):
+    names = ["_text", "_words", "_lines", "_solid", "_n", "_hash", "_good", "_row", "kept", "n_words"]
+    df = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve.", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    (row,) = clean(df).collect()
+    assert row.asDict() == df.first().asDict()

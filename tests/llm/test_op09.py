@@ -48,7 +48,7 @@ def test_hash_collisions_do_not_count():
     import numpy as np
 
     words = [b"a"] * 35 + [b"b"] * 35 + [b"a"] * 35 + [b"c"] * 35
-    many, later = op.repeated(words, np.zeros(4, np.uint64), np.array([0, 35, 70, 105]))
+    many, later = op.repeated(words, np.array([0, 35, 70, 105]), np.array([35, 70, 105, 140]), np.zeros(4, np.uint64))
     assert many.tolist() == [True, False, True, False] and later.tolist() == [False, False, True, False]
 
 

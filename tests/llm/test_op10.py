@@ -68,3 +68,15 @@ def test_repeats_nulls_empty(spark):
     got = near_duplicates(spark.createDataFrame([(7, t), (7, t), (None, t), (3, "other words here now then"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (-1, 7, False), (3, 3, True), (7, 7, True), (7, 7, True)]
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_null_ids_and_long_texts(spark, monkeypatch):
+    """Nulls join by text, not by doc_id; blocks are bounded in bytes."""
+    monkeypatch.setattr(op, "BLOCK_BYTES", 2000)
+    rnd = random.Random(5)
+    rows = [(None, " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(50)) for _ in range(30))) for _ in range(400)]
+    rows += made(8) + [(5000, " ".join(f"v{i}" for i in range(60_000)))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    want = brute([r for r in rows if r[0] is not None])
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == want
