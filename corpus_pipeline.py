@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, small, table
+from corpusloom.llm.common import fresh, materialize, small, table
 from corpusloom.llm.op01_line_dedup import dedup_lines
 from corpusloom.llm.op04_mixing import mix
 from corpusloom.llm.op06_language_id import identify
@@ -36,10 +36,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    gone = small(materialize(found, "copies"))
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
-    return kept.select(*docs.columns)
+    key, hashed = fresh(docs.columns, "_id", "_hash")
+    found = materialize(near_duplicates(docs.select("doc_id", "text")), "near")
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return small(materialize(rows.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed)).distinct(), "keys"))
+
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(hashed))
+    kept = docs.join(keys(found.where(~F.col("kept"))), same, "left_anti")
+    repeats = found.where("n_shingles > 0 and kept").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if repeats.isEmpty():
+        return kept.select(*docs.columns)
+    repeats = keys(repeats)  # one of the rows that repeat a doc_id and text stays
+    once = kept.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeats, same, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
