@@ -53,3 +53,36 @@ class Windows:
     gap: float = 0.5
     pad: float = 0.25
     min_overlap: float = 0.25
+
+
+#: As the reference has them where it names a default.
+@dataclass(frozen=True)
+class Sampling:
+    samples: int = 12
+    first: float = 0.08
+    last: float = 0.92
+    fps: int = 30
+    half: int = 15
+    clip: float = 6.0
+    clips: int = 4
+    bins: int = 5
+    strided: int = 16
+    stride: int = 3
+    sigma: float = 1.0
+    least_confidence: float = 0.2
+    ramp: int = 20
+    most_augmentation: float = 0.5
+    frame: int = 10
+    least_db: float = -35.0
+    skip: int = 4
+
+
+@dataclass(frozen=True)
+class Speaker:
+    min_track: float = 0.45
+    min_good: float = 0.30
+    min_primary: float = 0.70
+    min_motion: float = 0.020
+    min_open: float = 0.12
+    rival_ratio: float = 0.70
+    min_rival: float = 0.20

@@ -73,11 +73,16 @@ def char_normalize(c: Column) -> Column:
 
 
 def clean_word(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[^a-zA-Z0-9' -]", ""))
+    """Stripped, then without other characters, then with white space collapsed: a space may stay at an end."""
+    inner = F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.regexp_replace(F.regexp_replace(inner, r"[^a-zA-Z0-9' -]+", ""), " +", " ")
 
 
 def safe_stem(c: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9_.-]+", "_"), r"^[._]+|[._]+$", "")
+    """Of a path: its last part less the last suffix, other characters as _, bare of dots and _ at the ends."""
+    name = F.regexp_extract(F.regexp_replace(c, "/+$", ""), "([^/]*)$", 1)
+    stem = F.regexp_replace(name, r"(?s)^(.+)\.[^.]+$", "$1")
+    out = F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9_.-]+", "_"), r"^[._]+|[._]+$", "")
     return F.when(out == "", "video").otherwise(out)
 
 
@@ -89,7 +94,7 @@ def strip_markup(c: Column) -> Column:
 def soundex(c: Column) -> Column:
     """The simplified key: vowels, H and W all break runs and the first letter is not merged; '' for non-ASCII words."""
     up = F.upper(F.regexp_replace(c, r"[^A-Za-z]", ""))
-    code = F.translate(F.substring(up, 2, 10_000), "BFPVCGJKQSXZDTLMNRAEIOUHWY", "11112222222233455600000000")
+    code = F.translate(up.substr(F.lit(2), F.length(up)), "BFPVCGJKQSXZDTLMNRAEIOUHWY", "11112222222233455600000000")
     code = F.regexp_replace(F.regexp_replace(code, r"([1-6])\1+", "$1"), "0", "")
     key = F.substring(F.concat(F.substring(up, 1, 1), code, F.lit("000")), 1, 4)
     return F.when(c.rlike(r"[^\x00-\x7F]") | (up == ""), "").otherwise(key)

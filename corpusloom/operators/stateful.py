@@ -127,7 +127,7 @@ def confusion(pairs: DataFrame) -> DataFrame:
 def correct_tokens(docs: DataFrame, counts: dict[str, int], pairs: dict[tuple[str, str], int], most: int = 1, weight: float = 1.0) -> DataFrame:
     """(id, tok) -> id, tok corrected left to right: the context of a word is what was already corrected.
 
-    The vocabulary is broadcast; callers bound it (see the README). A word in it stays. Else, of the words within
+    The vocabulary is broadcast, so callers take one that a task can hold. A word in it stays. Else, of the words within
     `most` edits, the one with the best smoothed bigram log-probability less its distance wins; ties by spelling.
     """
     sent = docs.sparkSession.sparkContext.broadcast((counts, pairs))
@@ -145,6 +145,7 @@ def correct_tokens(docs: DataFrame, counts: dict[str, int], pairs: dict[tuple[st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uni, bi = sent.value
         by_len: dict[int, list[str]] = {}
+        known: dict[str, list[tuple[int, str]]] = {}
         for w in sorted(uni):
             by_len.setdefault(len(w), []).append(w)
         size, total = max(1, len(uni)), sum(uni.values())
@@ -158,8 +159,10 @@ def correct_tokens(docs: DataFrame, counts: dict[str, int], pairs: dict[tuple[st
                 done: list[str] = []
                 for w in words:
                     if w not in uni:
-                        found = [(near(w, v), v) for n in range(len(w) - most, len(w) + most + 1) for v in by_len.get(n, ())]
-                        found = [(-score(done[-1] if done else None, v) + weight * d, v) for d, v in found if d <= most]
+                        if w not in known:  # looked up once for each distinct word of a task
+                            close = [(near(w, v), v) for n in range(len(w) - most, len(w) + most + 1) for v in by_len.get(n, ())]
+                            known[w] = [(d, v) for d, v in close if d <= most]
+                        found = [(-score(done[-1] if done else None, v) + weight * d, v) for d, v in known[w]]
                         w = min(found)[1] if found else w
                     done.append(w)
                 out.append(done)

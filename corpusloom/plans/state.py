@@ -146,11 +146,11 @@ def language_weights(t):
 WC = "len(list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> ''))"
 
 
-@query(f"SELECT item_id, CASE WHEN {WC} = 1 THEN 'single_words' WHEN {WC} <= 30 THEN 'short' ELSE 'full' END AS phase FROM benchmark")
+@query(f"SELECT item_id, CASE WHEN {WC} = 1 THEN 'single_words' WHEN {WC} BETWEEN 1 AND 5 THEN 'short' ELSE 'full' END AS phase FROM benchmark")
 def curriculum_phase(t):
     """F8, U9"""
     n = F.size(F.array_remove(F.split("text", "[ \\t\\n]+"), ""))
-    return t("benchmark").select("item_id", F.when(n == 1, "single_words").when(n <= 30, "short").otherwise("full").alias("phase"))
+    return t("benchmark").select("item_id", F.when(n == 1, "single_words").when(n.between(1, 5), "short").otherwise("full").alias("phase"))
 
 
 @query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM r WHERE n <= 10 OR i IN (SELECT CAST(round_even(j * (n - 1) / 9.0, 0) AS BIGINT) FROM range(10) x(j))")

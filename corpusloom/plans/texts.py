@@ -162,7 +162,7 @@ def quality_all_reasons(t):
 @query(f"{sql_stats()}, r AS (SELECT unnest({sql_reasons(Quality())}) AS reason FROM s) SELECT reason, count(*) AS n FROM r GROUP BY reason ORDER BY n DESC, reason LIMIT 20")
 def quality_reason_counts(t):
     """A3 over F1: the flagship query."""
-    return reasoned(t("documents"), Quality()).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(20)
+    return reasoned(t("documents"), Quality()).select(F.explode_outer("reasons").alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(20)
 
 
 @query(f"""{sql_stats()}, r AS (SELECT *, len({sql_reasons(DOCUMENTS)}) = 0 AS kept FROM s)
@@ -196,7 +196,7 @@ def cleaning_report(t):
 @query(f"{sql_stats()}, r AS (SELECT doc_id, unnest({sql_reasons(DOCUMENTS)}) AS reason FROM s) SELECT reason, doc_id, rn FROM (SELECT reason, doc_id, row_number() OVER (PARTITION BY reason ORDER BY doc_id) AS rn FROM r) WHERE rn <= 5")
 def reason_samples(t):
     """The first five documents of each reason."""
-    x = reasoned(t("documents"), DOCUMENTS).select("doc_id", F.explode("reasons").alias("reason"))
+    x = reasoned(t("documents"), DOCUMENTS).select("doc_id", F.explode_outer("reasons").alias("reason")).where("reason is not null")
     return x.withColumn("rn", F.row_number().over(Window.partitionBy("reason").orderBy("doc_id"))).where("rn <= 5").select("reason", "doc_id", "rn")
 
 
@@ -226,13 +226,13 @@ def language_confusion(t):
     return x.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("lang")), 6))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text, '[^a-zA-Z0-9'' -]', '', 'g')) AS word FROM (SELECT doc_id, substr(text, 1, 60) AS text FROM documents)")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\A[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+\z', '', 'g'), '[^a-zA-Z0-9'' -]+', '', 'g'), ' +', ' ', 'g') AS word FROM documents")
 def clean_word(t):
     """Of the whole text."""
     return t("documents").select("doc_id", T.clean_word(F.col("text")).alias("word"))
 
 
-@query(r"SELECT page_id, CASE WHEN s = '' THEN 'video' ELSE s END AS stem FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS s FROM pages)")
+@query(r"SELECT page_id, CASE WHEN s = '' THEN 'video' ELSE s END AS stem FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1), '(?s)^(.+)\.[^.]+$', '\1'), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS s FROM pages)")
 def safe_stem(t):
     """X17"""
     return t("pages").select("page_id", T.safe_stem(F.col("url")).alias("stem"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Accent, Visual
+from ..config import Accent, Speaker, Visual
 from ..functions import text as T
 from ..operators import intervals, rules
 from .base import query
@@ -148,16 +148,32 @@ def track_activity(t):
     return tracks(t).select("user_id", "track", "n", r6(F.col("motion"), "motion"), r6(F.col("activity"), "activity"))
 
 
+K = Speaker()
+
+
 @query(f"""WITH {TRACK}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY activity DESC, track) AS rn FROM s),
-p AS (SELECT user_id, max(CASE WHEN rn = 1 THEN track END) AS active, max(CASE WHEN rn = 1 THEN activity END) AS top, coalesce(max(CASE WHEN rn > 1 AND visible >= 0.2 THEN activity END), 0) AS rival FROM r GROUP BY user_id)
-SELECT user_id, active, round(top, 6) AS top, round(rival, 6) AS rival, CASE WHEN top < 10 THEN 'no_active_speaker' WHEN rival > 0 AND top / rival < 1.15 THEN 'ambiguous' ELSE 'active' END AS status FROM p""")
+c AS (SELECT user_id, min(rn) AS rn FROM r WHERE rn > 1 AND visible >= {K.min_rival} GROUP BY user_id),
+p AS (SELECT a.*, coalesce(x.activity, 0) AS rival, x.activity IS NOT NULL AS rivalled, coalesce(x.activity, 0) / greatest(a.activity, 1e-6) AS ratio FROM r a LEFT JOIN c USING (user_id) LEFT JOIN r x ON x.user_id = a.user_id AND x.rn = c.rn WHERE a.rn = 1)
+SELECT user_id, track AS active, round(activity, 6) AS top, round(rival, 6) AS rival, round(ratio, 6) AS ratio,
+ CASE WHEN visible < {K.min_track} THEN 'active_speaker_not_visible_enough' WHEN rate < {K.min_good} THEN 'active_speaker_mouth_not_trainable' WHEN visible / {K.min_track} < {K.min_primary} THEN 'active_speaker_not_primary_face'
+ WHEN motion / 1000 < {K.min_motion} THEN 'mouth_not_moving_enough' WHEN mean / 400 < {K.min_open} THEN 'mouth_mostly_closed' WHEN rivalled AND ratio >= {K.rival_ratio} THEN 'competing_active_speaker' ELSE 'ok' END AS status FROM p""")
 def active_vs_competitor(t):
-    """The top track against the best visible other."""
+    """The most active track, the best visible other, and the first rule that the former fails."""
+    c = F.col
     x = tracks(t).withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("activity"), "track")))
-    first = lambda c: F.max(F.when(F.col("rn") == 1, F.col(c)))
-    x = x.groupBy("user_id").agg(first("track").alias("active"), first("activity").alias("top"), F.coalesce(F.max(F.when((F.col("rn") > 1) & (F.col("visible") >= 0.2), F.col("activity"))), F.lit(0.0)).alias("rival"))
-    status = rules.first_reason([("no_active_speaker", F.col("top") < 10), ("ambiguous", (F.col("rival") > 0) & (F.try_divide("top", "rival") < 1.15))], "active")
-    return x.select("user_id", "active", r6(F.col("top"), "top"), r6(F.col("rival"), "rival"), status.alias("status"))
+    top = F.min_by(F.struct("track", "activity", "visible", "rate", "motion", "mean"), "rn")
+    x = x.groupBy("user_id").agg(top.alias("a"), F.max(F.when((c("rn") > 1) & (c("visible") >= K.min_rival), c("activity"))).alias("best"))
+    x = x.select("user_id", "a.*", "best", F.coalesce("best", F.lit(0.0)).alias("rival"))
+    x = x.withColumn("ratio", c("rival") / F.greatest("activity", F.lit(1e-6)))
+    status = rules.first_reason([
+        ("active_speaker_not_visible_enough", c("visible") < K.min_track),
+        ("active_speaker_mouth_not_trainable", c("rate") < K.min_good),
+        ("active_speaker_not_primary_face", c("visible") / K.min_track < K.min_primary),
+        ("mouth_not_moving_enough", c("motion") / 1000 < K.min_motion),
+        ("mouth_mostly_closed", c("mean") / 400 < K.min_open),
+        ("competing_active_speaker", c("best").isNotNull() & (c("ratio") >= K.rival_ratio)),
+    ], "ok")
+    return x.select("user_id", c("track").alias("active"), r6(c("activity"), "top"), r6(c("rival"), "rival"), r6(c("ratio"), "ratio"), status.alias("status"))
 
 
 V = Visual()
@@ -168,15 +184,16 @@ def visual(t) -> DataFrame:
     return t("events").groupBy("user_id").agg(F.count("*").alias("frames"), (F.avg((F.col("event_type") == "view").cast("double")) * 3).alias("face_rate"), (F.min("value") / 10).alias("lip"), (F.avg("value") / 1000).alias("openness"), (F.stddev_pop("value") / 1000).alias("motion"), (F.max("value") / 8).alias("sharpness"))
 
 
-@query(f"""{VIS} SELECT user_id, array_to_string(list_filter([CASE WHEN face_rate < {V.min_face_rate} THEN 'face_rate' END, CASE WHEN lip < {V.min_lip_size} THEN 'lip_size' END, CASE WHEN openness < {V.min_openness} THEN 'openness' END, CASE WHEN motion < {V.min_motion} THEN 'motion_low' END, CASE WHEN motion > {V.max_motion} THEN 'motion_high' END, CASE WHEN sharpness < {V.min_sharpness} THEN 'sharpness' END], lambda x: x IS NOT NULL), ';') AS reasons,
- round(0.5 * face_rate + 0.2 * least(1, motion / {V.min_motion}) + 0.2 * least(1, openness / {V.min_openness}) + 0.1 * least(1, lip / {V.min_lip_size}), 6) AS score FROM m""")
+@query(f"""{VIS} SELECT user_id, CASE WHEN frames <= 0 THEN 'no_frames' ELSE array_to_string(list_filter([CASE WHEN face_rate < {V.min_face_rate} THEN 'face_rate' END, CASE WHEN lip < {V.min_lip_size} THEN 'lip_size' END, CASE WHEN openness < {V.min_openness} THEN 'openness' END, CASE WHEN motion < {V.min_motion} THEN 'motion_low' END, CASE WHEN {V.max_motion} > 0 AND motion > {V.max_motion} THEN 'motion_high' END, CASE WHEN sharpness < {V.min_sharpness} THEN 'sharpness' END], lambda x: x IS NOT NULL), ';') END AS reasons,
+ round(CASE WHEN frames <= 0 THEN 0 ELSE 1 END * (0.5 * face_rate + 0.2 * least(1, motion / {V.min_motion}) + 0.2 * least(1, openness / {V.min_openness}) + 0.1 * least(1, lip / {V.min_lip_size})), 6) AS score FROM m""")
 def visual_reasons(t):
-    """F2, F17, F18"""
+    """F2, F18"""
     c = F.col
-    found = rules.all_reasons([("face_rate", c("face_rate") < V.min_face_rate), ("lip_size", c("lip") < V.min_lip_size), ("openness", c("openness") < V.min_openness), ("motion_low", c("motion") < V.min_motion), ("motion_high", c("motion") > V.max_motion), ("sharpness", c("sharpness") < V.min_sharpness)])
+    found = rules.all_reasons([("face_rate", c("face_rate") < V.min_face_rate), ("lip_size", c("lip") < V.min_lip_size), ("openness", c("openness") < V.min_openness), ("motion_low", c("motion") < V.min_motion), ("motion_high", F.lit(V.max_motion > 0) & (c("motion") > V.max_motion)), ("sharpness", c("sharpness") < V.min_sharpness)])
     part = lambda v, m: F.least(F.lit(1.0), c(v) / m)
     score = 0.5 * c("face_rate") + 0.2 * part("motion", V.min_motion) + 0.2 * part("openness", V.min_openness) + 0.1 * part("lip", V.min_lip_size)
-    return visual(t).select("user_id", F.array_join(found, ";").alias("reasons"), r6(score, "score"))
+    some = c("frames") > 0
+    return visual(t).select("user_id", F.when(some, F.array_join(found, ";")).otherwise("no_frames").alias("reasons"), r6(F.when(some, score).otherwise(0.0), "score"))
 
 
 A = Accent()
@@ -193,12 +210,13 @@ def label_score_margin(t):
     return x.select("user_id", r6(F.col("us"), "us_score"), r6(F.col("us") - F.col("other"), "margin"), "top_label")
 
 
-@query(f"WITH m AS (SELECT user_id, avg(value) - 70 AS rms, avg(CASE WHEN value > 10 THEN 1.0 ELSE 0 END) AS active, max(value) / 100 AS english, avg(value) / 60 AS us, stddev_pop(value) / 100 AS margin FROM events GROUP BY user_id) SELECT user_id, CASE WHEN rms < {A.min_rms} THEN 'too_quiet' WHEN active < {A.min_active} THEN 'too_little_speech' WHEN english < {A.min_english} THEN 'not_english' WHEN us < {A.min_score} THEN 'low_score' WHEN margin < {A.min_margin} THEN 'low_margin' ELSE 'american_english' END AS decision FROM m")
+@query(f"WITH m AS (SELECT user_id, avg(value) - 70 AS rms, avg(CASE WHEN value > 10 THEN 1.0 ELSE 0 END) AS active, max(value) / 100 AS english, avg(value) / 60 AS us, stddev_pop(value) / 100 AS margin, min(value) < 0.05 AS broken, count(*) FILTER (event_type IN ('view', 'click', 'signup')) AS clips, coalesce(avg(CASE WHEN event_type IN ('view', 'click') THEN 1.0 ELSE 0 END) FILTER (event_type IN ('view', 'click', 'signup')), 0) AS votes FROM events GROUP BY user_id) SELECT user_id, CASE WHEN broken THEN 'decode_error' WHEN clips = 0 THEN 'no_audio' WHEN rms < {A.min_rms} THEN 'too_quiet' WHEN active < {A.min_active} THEN 'not_enough_active_speech' WHEN english < {A.min_english} THEN 'non_english_or_uncertain_language' WHEN us < {A.min_score} THEN 'low_us_accent_score' WHEN margin < {A.min_margin} THEN 'ambiguous_us_accent_margin' WHEN votes < {A.min_votes} THEN 'not_enough_us_clip_votes' ELSE 'american_english' END AS decision FROM m")
 def accent_decision(t):
-    """the first rule that fails."""
+    """the first rule that fails; a clip is a view, click or signup, the first two vote for the accent."""
     c = F.col
-    m = t("events").groupBy("user_id").agg((F.avg("value") - 70).alias("rms"), F.avg((c("value") > 10).cast("double")).alias("active"), (F.max("value") / 100).alias("english"), (F.avg("value") / 60).alias("us"), (F.stddev_pop("value") / 100).alias("margin"))
-    return m.select("user_id", rules.first_reason([("too_quiet", c("rms") < A.min_rms), ("too_little_speech", c("active") < A.min_active), ("not_english", c("english") < A.min_english), ("low_score", c("us") < A.min_score), ("low_margin", c("margin") < A.min_margin)], "american_english").alias("decision"))
+    clip = c("event_type").isin("view", "click", "signup")
+    m = t("events").groupBy("user_id").agg((F.avg("value") - 70).alias("rms"), F.avg((c("value") > 10).cast("double")).alias("active"), (F.max("value") / 100).alias("english"), (F.avg("value") / 60).alias("us"), (F.stddev_pop("value") / 100).alias("margin"), (F.min("value") < 0.05).alias("broken"), F.count_if(clip).alias("clips"), F.coalesce(F.avg(F.when(clip, c("event_type").isin("view", "click").cast("double"))), F.lit(0.0)).alias("votes"))
+    return m.select("user_id", rules.first_reason([("decode_error", c("broken")), ("no_audio", c("clips") == 0), ("too_quiet", c("rms") < A.min_rms), ("not_enough_active_speech", c("active") < A.min_active), ("non_english_or_uncertain_language", c("english") < A.min_english), ("low_us_accent_score", c("us") < A.min_score), ("ambiguous_us_accent_margin", c("margin") < A.min_margin), ("not_enough_us_clip_votes", c("votes") < A.min_votes)], "american_english").alias("decision"))
 
 
 @query(f"{E}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM e) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS place FROM k WHERE rn <= 3")
@@ -225,7 +243,7 @@ def robust_center(t):
     return d.join(a, "user_id").where("dev <= most").groupBy("user_id").agg(r6(F.avg("value"), "centre"), F.count("*").alias("inliers"), r6(F.percentile("value", 0.95), "p95"))
 
 
-@query(f"{E}, w AS (SELECT event_id, event_type, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM e) SELECT event_id, rn || chr(10) || printf('%02d:%02d:%02d,%03d', CAST(floor(t / 3600) AS BIGINT), CAST(floor(t / 60) AS BIGINT) % 60, CAST(floor(t) AS BIGINT) % 60, CAST(round((t - floor(t)) * 1000) AS BIGINT)) || chr(10) || event_type AS entry FROM w WHERE t < 350000")
+@query(f"{E}, w AS (SELECT event_id, event_type, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM e) SELECT event_id, rn || chr(10) || printf('%02d:%02d:%02d,%03d', CAST(floor(t / 3600) AS BIGINT), CAST(floor(t / 60) AS BIGINT) % 60, CAST(floor(t) AS BIGINT) % 60, CAST(round((t - floor(t)) * 1000) AS BIGINT)) || chr(10) || event_type AS entry FROM w")
 def srt_entries(t):
     """K6, K7, M2, M3"""
     x = timed(t).withColumn("rn", F.row_number().over(by_user()))
