@@ -86,3 +86,22 @@ class Speaker:
     min_open: float = 0.12
     rival_ratio: float = 0.70
     min_rival: float = 0.20
+
+
+@dataclass(frozen=True)
+class FullVideo:
+    min_face_rate: float = 0.65
+    min_good_rate: float = 0.45
+    max_ambiguous: float = 0.35
+    min_mouth_width: float = 28.0
+    min_height: float = 0.16
+    max_yaw: float = 0.46
+    min_segments: int = 1
+
+
+@dataclass(frozen=True)
+class SampleFilter:
+    max_words: int = 400
+    max_units: int = 1200
+    max_frames: int = 1000
+    min_confidence: float = 0.2

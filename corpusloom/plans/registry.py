@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-for _name in ("texts", "timed", "state", "vectors", "stateful", "samples"):
+for _name in ("texts", "timed", "state", "vectors", "stateful", "samples", "decisions"):
     import_module(f"{__package__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
