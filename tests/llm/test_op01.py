@@ -94,3 +94,19 @@ def test_clashing_columns_stay(spark):
     got = {r.doc_id: r.asDict() for r in dedup_lines(df).collect()}
     assert all(got[d][n] == n for d in (1, 2) for n in names)
     assert (got[1]["n_removed"], got[2]["n_removed"], got[2]["text"]) == (0, 1, "")
+
+
+def test_hot_bands_of_several_components(spark):
+    """Edits of two long lines: bands of over HOT members that hold components and lines linked with none."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdeimnorst") for _ in range(rnd.randrange(2, 9)))
+    bases, rows = [[word() for _ in range(40)] for _ in range(2)], []
+    for d in range(300):
+        w = list(bases[d % 2])
+        for _ in range(rnd.randrange(6)):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((d, " ".join(w)))
+    want = brute(rows)
+    assert 2 < sum(t != "" for t in want.values()) < 250
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[d] != want[d] for d in got) <= 1
