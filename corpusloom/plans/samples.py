@@ -98,8 +98,17 @@ def untrained_guard(t):
 
 @query("SELECT user_id, round(coalesce(avg(CASE WHEN event_type <> 'error' THEN value / 400 END), 0), 6) AS confidence FROM events GROUP BY user_id")
 def mean_word_confidence(t):
-    """The mean of the probabilities there are; 0 if there are none."""
-    return t("events").groupBy("user_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("event_type") != "error", F.col("value") / 400)), F.lit(0.0)), 6).alias("confidence"))
+    """The mean of the probabilities there are; 0 if there are none.
+
+    Means that lie on half a millionth are common here, so the last bit decides: the sum is taken by event_id, as the table
+    lies, however it is dealt out, and rounded by the arithmetic of the SQL (scaled, rounded, scaled back). A running sum,
+    so a user's events may spill.
+    """
+    x = t("events").select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("value") / 400).alias("p"))
+    w = Window.partitionBy("user_id").orderBy("event_id", "p")
+    x = x.withColumns({"sum": F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "at": F.row_number().over(w)})
+    x = x.groupBy("user_id").agg((F.max_by("sum", "at") / F.count("p")).alias("mean"))
+    return x.select("user_id", (F.round(F.coalesce("mean", F.lit(0.0)) * 1e6, 0) / 1e6).alias("confidence"))
 
 
 @query("SELECT c_custkey, regexp_full_match(substr(c_name, CAST(1 + c_custkey % 12 AS BIGINT), 11), '[A-Za-z0-9_-]{11}') AS looks_like_id FROM customer")
