@@ -13,9 +13,10 @@ is contaminated by an item if a window reaches PERCENT.
    on (size, block number, block value) finds every item within the radius. A pair is taken from its first common block.
 4. Decision. The exact weighted similarity.
 
-Scale. Document texts are not shuffled: item shingles and blocks are broadcast while their counted number is at most
-BROADCAST_ROWS, and joined by shuffle beyond; likewise the documents with a hit. Windows grow with the occurrences of
-item shingles only, and every step is per window, so a passage that a third of the documents hold costs in proportion.
+Scale. Item shingles and blocks are broadcast while their counted number is at most BROADCAST_ROWS, and joined by
+shuffle beyond; likewise the keys of documents with a hit, and their windows' places. Only texts of documents with a hit
+are shuffled, where the places exceed BROADCAST_BYTES; all texts where the keys do, too. Windows grow with the occurrences
+of item shingles only, and every step is per window, so a passage that a third of the documents hold costs in proportion.
 
 Cases. Null or empty text or item: contaminates nothing. Null doc_id: reported with a null doc_id. Rows that repeat a
 doc_id: judged by their own text; equal texts give one row. Repeated items: each reported. Ties: the earliest window.
@@ -68,9 +69,16 @@ def _fingerprinted(x: DataFrame) -> DataFrame:
     return x.withColumn("blocks", _blocks("fp")).drop("_features", "_ordered")
 
 
+def _with_places(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """docs (doc_id, text_hash, text) that have a row in at (id, hash, at), with it; others are left out before a shuffle."""
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    return docs.join(small(at.select("id", "hash")), same, "left_semi").join(small(at), same)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, start (0-based word), similarity: a row per contaminated (document, item)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    docs = whole.select("doc_id", "text_hash", _words(F.col("text")).alias("words"))
     items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = items.withColumns({"size": F.size("words"), "k": F.least(F.lit(SHINGLE), F.size("words"))})
     items = materialize(_fingerprinted(items.withColumn("hashes", F.array_distinct(_hashes("words", F.col("k"))))), "items")
@@ -87,8 +95,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = materialize(found.distinct(), "hits")
 
     at = hits.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("size", "k", "start")).alias("at"))
-    at = small(materialize(at, "at"))
-    texts = docs.join(at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    texts = _with_places(whole, materialize(at, "at")).select("doc_id", "text_hash", "at", _words(F.col("text")).alias("words"))
     windows = texts.select("doc_id", "text_hash", F.explode_outer(F.transform("at", lambda v: F.struct(v["size"].alias("size"), v["k"].alias("k"), v["start"].alias("start"), F.slice("words", v["start"] + 1, v["size"]).alias("words")))).alias("w"))
     windows = materialize(_fingerprinted(windows.select("doc_id", "text_hash", "w.*")).drop("words"), "windows")
 

@@ -70,3 +70,30 @@ def test_empty_tables_and_null_ids(spark):
     assert [(r.doc_id, r.item_id, r.start) for r in op.matches(d, b).collect()] == [(None, 7, 0)]
     assert [r.doc_id for r in op.decontaminate(d, b).collect()] == [1]
     assert op.matches(d, b.limit(0)).count() == 0 and op.matches(d.limit(0), b).count() == 0 and op.decontaminate(d, b.limit(0)).count() == 2
+
+
+def test_only_texts_with_a_hit_are_shuffled(spark, monkeypatch, tmp_path):
+    """Places of hits that are too large to broadcast: the semi-join with their keys stands below the exchange of texts."""
+    rows = [(d, f"word{d} " * 50 + ("a b c d e f " * 40 if d % 10 == 0 else "")) for d in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, items = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([(1, "a b c d e f " * 5)], "item_id long, text string")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 5000)
+    plans, kept = [], op.materialize
+
+    def noted(df, tag):
+        if tag == "windows":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, tag)
+
+    monkeypatch.setattr(op, "materialize", noted)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.doc_id for r in op.matches(docs, items).collect()} == set(range(0, 200, 10))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    (plan,) = plans
+    text = next(i for i, x in enumerate(plan.split("\n")) if "SortMergeJoin" in x)
+    under = plan.split("\n")[text:]
+    exchange = next(i for i, x in enumerate(under) if "Exchange hashpartitioning" in x)
+    assert "BroadcastHashJoin" in "".join(under[exchange:]) and "LeftSemi" in "".join(under[exchange:])
