@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -83,6 +85,28 @@ def test_correction_uses_corrected_context(spark):
     assert {r.id: list(r.tok) for r in stateful.correct_tokens(df, counts, pairs).collect()} == {1: ["the", "cat"], 2: ["red", "cap"], 3: [], 4: ["zzzzzz"]}
 
 
+def test_close_words_are_all_found():
+    rnd = random.Random(4)
+    some = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    vocab = sorted({some(rnd.randrange(1, 7)) for _ in range(150)})
+    for most in (0, 1, 2):
+        close = stateful.close_lookup(vocab, most)
+        for w in [some(rnd.randrange(9)) for _ in range(200)] + ["x" * 5000]:
+            assert sorted(close(w)) == sorted((d, v) for v in vocab if (d := stateful.edits(w, v, 9)) <= most)
+
+
+def test_correction_does_not_compare_with_the_whole_vocabulary(spark):
+    """4000 distinct words against 4000 of their length, in one task; all pairs would take minutes."""
+    rnd = random.Random(5)
+    some = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    counts, words = {some(): 1 for _ in range(4000)}, [some() for _ in range(4000)]
+    first = min(counts)
+    df = spark.createDataFrame([(1, [*words, "x" + first[1:]])], "id long, tok array<string>").coalesce(1)
+    began = time.monotonic()
+    (row,) = stateful.correct_tokens(df, counts, {}).collect()
+    assert time.monotonic() - began < 30 and len(row.tok) == 4001 and stateful.edits(row.tok[-1], first, 2) <= 2
+
+
 def test_smooth_boxes_truncates(spark):
     df = spark.createDataFrame([(1, f, x) for f, x in enumerate([10, 21, 21])], "k int, frame int, x int")
     assert list(stateful.smooth_boxes(df, "k", 0.5).first().smoothed) == [10, 15, 18]
