@@ -8,7 +8,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.operators import intervals, sampling, sequences, stateful
+from corpusloom.operators import intervals, ngrams, sampling, sequences, stateful
 
 
 def test_merge_is_inclusive_disjoint_and_idempotent(spark):
@@ -116,3 +116,10 @@ def test_captions(spark):
     text = "WEBVTT\n\n00:01.000 --> 00:02.500 align:start\n<c>Hi</c> [noise]\nthere\n\n00:03.000 --> 00:04.000\n\n01:00:00.000 --> 01:00:01.000\nend"
     got = spark.createDataFrame([(text,), (None,)], "s string").select(stateful.parse_captions("s").alias("c")).collect()
     assert [tuple(x) for x in got[0].c] == [(1.0, 2.5, "Hi there"), (3600.0, 3601.0, "end")] and got[1].c == []
+
+
+def test_ngrams_of_a_stream_with_short_documents_and_null_ids(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, ["c"]), (None, ["d", "e", "f", "g"])], "doc_id long, tok array<string>")
+    for k in (1, 2, 3):
+        got = sorted("".join(r[:k]) for r in ngrams.counts(df, k).collect())
+        assert got == sorted("abcdefg"[i : i + k] for i in range(8 - k))
