@@ -1,6 +1,8 @@
 import random
 
-from corpusloom.llm.op01_line_dedup import dedup_lines
+from pyspark.sql import functions as F
+
+from corpusloom.llm.op01_line_dedup import PIECE, _pieces, _shingles, dedup_lines
 
 
 def grams(x):
@@ -110,3 +112,17 @@ def test_hot_bands_of_several_components(spark):
     assert 2 < sum(t != "" for t in want.values()) < 250
     got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert sum(got[d] != want[d] for d in got) <= 1
+
+
+def test_shingles_are_hashed_in_pieces(spark):
+    """Hashes of all code-point shingles, of up to PIECE in a row; short, accented and astral lines included."""
+    lines = ["a", "elf zeichen", "zwölf zeiche", "café \U0001f600 über \U0001f600 naïve straße", "ab" * 40, "x" * 26, "x" * 27, "é\U00010348" * 14]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    shingles = [(i, g) for i, line in enumerate(lines) for g in grams(line)]
+    coded = F.xxhash64(F.encode("g", "UTF-32"))
+    want = {(r.i, r.h) for r in spark.createDataFrame(shingles, "i long, g string").select("i", coded.alias("h")).collect()}
+    rows = _pieces(df).collect()
+    assert {(r.id, r[f"h{j}"]) for r in rows for j in range(PIECE)} == want
+    assert len(rows) == sum(max(1, -(-(len(line) - 11) // PIECE)) for line in lines)
+    sets = df.select("id", F.encode("line", "UTF-32").alias("code")).select("id", _shingles("code").alias("s")).collect()
+    assert {(r.id, h) for r in sets for h in r.s} == want and sum(len(r.s) for r in sets) == len(want)
