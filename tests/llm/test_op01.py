@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm.op01_line_dedup import PIECE, _pieces, _shingles, dedup_lines
+from corpusloom.llm.op01_line_dedup import PIECE, _named, _near, _odd, _pieces, _shingles, dedup_lines
 
 
 def grams(x):
@@ -126,3 +126,39 @@ def test_shingles_are_hashed_in_pieces(spark):
     assert len(rows) == sum(max(1, -(-(len(line) - 11) // PIECE)) for line in lines)
     sets = df.select("id", F.encode("line", "UTF-32").alias("code")).select("id", _shingles("code").alias("s")).collect()
     assert {(r.id, h) for r in sets for h in r.s} == want and sum(len(r.s) for r in sets) == len(want)
+
+
+def test_few_jobs_for_hot_bands(spark):
+    """What the driver holds grows with the plans it makes: components are made twice at most, without rounds or sketches."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdeimnorst") for _ in range(rnd.randrange(2, 9)))
+    base, rows = [word() for _ in range(40)], []
+    for d in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(6)):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = brute(rows)
+    assert sum(got[d] != want[d] for d in got) <= 1
+    assert jobs < 120, jobs
+
+
+def test_bits_lose_no_link(spark):
+    """Lines of 1 to 3000 shingles and edits of them: every pair at the threshold passes, most others do not."""
+    rnd = random.Random(5)
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for n in (12, 20, 60, 300, 3000):
+        base = some(n)
+        lines += [base, base + some(n // 20), base[: n - n // 8], base[n // 4 :], base[: n // 2] + some(n // 2), some(n)]
+    odd = _odd(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    near = {(r.a, r.b) for r in _named(odd, "a").crossJoin(_named(odd, "b")).where("a < b").where(_near("a", "b")).select("a", "b").collect()}
+    sets = [grams(x) for x in lines]
+    linked = {(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert linked <= near and len(near) < 3 * len(linked)
+    assert {r.id: r.n for r in odd.collect()} == {i: len(s) for i, s in enumerate(sets)}
