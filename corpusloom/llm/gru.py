@@ -163,9 +163,9 @@ class Gru:
             p += self.bc
             p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
-            p *= (F32(1 / count) / p.sum(axis=1))[:, None]
-            p[np.arange(len(p)), cls[at : at + BLOCK]] -= F32(1 / count)
-            p *= real[at : at + BLOCK, None]
+            share = F32(1 / count) * real[at : at + BLOCK].astype(F32)
+            p *= (share / p.sum(axis=1))[:, None]
+            p[np.arange(len(p)), cls[at : at + BLOCK]] -= share
             g["wc"] += own.T @ p
             g["bc"] += p.sum(axis=0)
             ds[at : at + BLOCK] = p @ self.wc.T

@@ -57,6 +57,14 @@ def rare_classes(vocabulary: int) -> int:
     return rare
 
 
+class Places(dict):
+    """word -> its number by first use; a known word's lookup runs no Python code."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _join(words: list[bytes]) -> bytes:
     """Words, END included, as one string."""
     return b" ".join(b"\0end" if w == END else b"." + w for w in words)
@@ -98,12 +106,12 @@ def _chunks(buckets: int):
                 number += 1
 
     def chunk(number, batch, texts):
-        place: dict[bytes, int] = {END: 0}
+        place = Places({END: 0})
         teaches = np.array(batch.column(1).to_pylist(), bool)
         ids, sizes = [], []
         for t in texts:
             words = (t.as_py() or b"").lower().split()
-            ids.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)))
+            ids.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
             ids.append(np.zeros(1, np.int32))
             sizes.append(len(words) + 1)
         ids, sizes = np.concatenate(ids), np.array(sizes, np.int32)

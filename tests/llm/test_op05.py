@@ -109,3 +109,10 @@ def test_null_ids_teach_and_words_grow_with_the_vocabulary(spark):
     assert len(lexicon.place) == 701
     payload = op._put(np.zeros(2, np.int64).tobytes(), np.array([True, False]).tobytes(), np.array([True, True]).tobytes(), np.array([2, 1], np.int32).tobytes(), np.array([1, 0, 0], np.int32).tobytes(), op._join([op.END, words[0].encode()]))
     assert [x.tolist() for x in op._lessons(payload, lexicon)] == [[1, 0], [0]]
+
+
+def test_words_are_numbered_by_first_use():
+    words = b"a b a c b d a \xc3\xa9 d".split()
+    place = op.Places({op.END: 0})
+    assert list(map(place.__getitem__, words)) == [1, 2, 1, 3, 2, 4, 1, 5, 4]
+    assert list(place) == [op.END, b"a", b"b", b"c", b"d", b"\xc3\xa9"]
