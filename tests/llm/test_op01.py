@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpusloom.llm import op01_line_dedup
 from corpusloom.llm.op01_line_dedup import PIECE, _named, _near, _odd, _pieces, _shingles, dedup_lines
 
 
@@ -162,3 +163,20 @@ def test_bits_lose_no_link(spark):
     linked = {(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert linked <= near and len(near) < 3 * len(linked)
     assert {r.id: r.n for r in odd.collect()} == {i: len(s) for i, s in enumerate(sets)}
+
+
+def test_sets_are_made_with_the_pair_and_bands_are_not_sorted(spark, monkeypatch):
+    """No sets are gathered by an aggregate to confirm pairs, and no rows are sorted to find the bands of several lines."""
+    plans, write = {}, op01_line_dedup.materialize
+
+    def kept(df, tag, *more):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag, *more)
+
+    monkeypatch.setattr(op01_line_dedup, "materialize", kept)
+    line = "a line of words that is long enough to hold a good many shingles of twelve"
+    df = spark.createDataFrame([(1, line), (2, line + " or so"), (3, "Another line\n" + line), (4, "none alike")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in dedup_lines(df).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (2, 1), 4: (1, 0)}
+    assert plans["links"] and all("Aggregate" not in x.split("Scan")[0] for x in plans["links"])
+    assert plans["members"] and all("SortAggregate" not in x and "SortMergeJoin" not in x for x in plans["members"])
