@@ -180,3 +180,34 @@ def test_sets_are_made_with_the_pair_and_bands_are_not_sorted(spark, monkeypatch
     assert got == {1: (1, 0), 2: (1, 1), 3: (2, 1), 4: (1, 0)}
     assert plans["links"] and all("Aggregate" not in x.split("Scan")[0] for x in plans["links"])
     assert plans["members"] and all("SortAggregate" not in x and "SortMergeJoin" not in x for x in plans["members"])
+
+
+def test_bits_tell_long_lines_apart(spark):
+    """Lines of over LONG characters that share half of their shingles fill WORDS longs; more words tell them apart and lose no link."""
+    rnd = random.Random(8)
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = some(2400)
+    lines = [base, base[:1600] + some(800), some(800) + base[800:], base[: 2400 - 550], base[100:] + some(150), base * 2, some(2400), base[:300]]
+    odd = _odd(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    near = {(r.a, r.b) for r in _named(odd, "a").crossJoin(_named(odd, "b")).where("a < b").where(_near("a", "b")).select("a", "b").collect()}
+    sets = [grams(x) for x in lines]
+    linked = {(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert {(0, 3), (0, 4), (0, 5)} <= linked <= near
+    assert not near & {(0, 1), (0, 2), (1, 2), (0, 6), (1, 6)}
+
+
+def test_sets_are_made_by_compiled_projections(spark, monkeypatch):
+    """explode evaluates what it is given row by row, without compiling it: it gets columns, no sets to make."""
+    plans, write = {}, op01_line_dedup.materialize
+
+    def kept(df, tag, *more):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag, *more)
+
+    monkeypatch.setattr(op01_line_dedup, "materialize", kept)
+    df = spark.createDataFrame([(1, "a line of words that is long enough to hold shingles"), (2, "a line of words that is long enough to hold shingles too")], "id long, line string")
+    op01_line_dedup._confirm(spark.createDataFrame([(1, 2)], "a long, b long"), df)
+    _odd(df)
+    for tag in ("links", "odd"):
+        made = [x for x in plans[tag][0].split("\n") if "transform(" in x]
+        assert made and all("Generate" not in x for x in made)
